@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,21 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/driftlens-{spark.sparkContext.applicationId}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_driftlens_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    folder = tempfile.mkdtemp(prefix="driftlens-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/driftlens.zip", "w") as z:
+        for f in (root / "driftlens").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(f"{folder}/driftlens.zip")
+    sc._driftlens_shipped = True
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
