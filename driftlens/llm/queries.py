@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, exact_dedup, mixing, simhash, toxicity, url_filter, warc
+from . import embeddings, exact_dedup, mixing, packing, simhash, toxicity, url_filter, warc
 from .shared import new_path, ship
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), size=2048)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = exact_dedup.exact_dedup(docs, carry={"text_sha256": exact_dedup.text_sha256()})
@@ -58,6 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op5_warc": op5_warc,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_simhash": op7_simhash,
