@@ -11,21 +11,48 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release, written
+
 #: At most so many labelled documents, those of lowest hashed id, train the chain.
 SAMPLE = 12_000
-#: Words that each category's model looks at: those of highest chi-squared.
-VOCABULARY = 128
+#: Features that each category's model looks at: those of highest chi-squared, of so many candidates.
+VOCABULARY, CANDIDATES = 256, 6000
 FOLDS = 5
+#: A feature is a word or a word's beginning (``^`` and its letters), at least so often in a text.
+PREFIXES, LEVELS = range(3, 9), (1, 2, 4)
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+def roots(word: str) -> list[str]:
+    return [word, *(f"^{word[:n]}" for n in PREFIXES if n <= len(word))]
+
+
+def features(text: str | None, of=roots) -> set[str]:
+    """What a text shows: roots of its words, with ``#n`` for those found n times or more."""
+    found: dict[str, int] = {}
+    for w in _WORD.findall((text or "").lower()):
+        for r in of(w):
+            found[r] = found.get(r, 0) + 1
+    return {r if k == 1 else f"{r}#{k}" for r, n in found.items() for k in LEVELS if n >= k}
+
+
+class Known(dict):
+    """The roots of a word that a model knows, remembered for up to a million words."""
+
+    def __init__(self, names):
+        super().__init__()
+        self.names = {n.partition("#")[0] for n in names}
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) > 1_000_000:
+            self.clear()
+        out = self[word] = [r for r in roots(word) if r in self.names]
+        return out
 
 
 @dataclass
 class Link:
-    """One category's linear model: weights of words, of earlier categories' probabilities, and a bias."""
+    """One category's linear model: weights of features, of earlier categories' probabilities, and a bias."""
 
     category: str
     weights: dict[str, float]
@@ -46,7 +73,7 @@ class Chain:
         return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, l2: float = 0.3) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last column is the bias, which isn't shrunk."""
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
     ridge[-1] = 1e-6
@@ -64,6 +91,18 @@ def _with_bias(*parts: np.ndarray) -> np.ndarray:
     return np.column_stack([*parts, np.ones(len(parts[0]))])
 
 
+def _apart(best: list[tuple[str, float, int, int]]) -> list[str]:
+    """The best features, of those that mark the same texts (one begins the other, equal counts) only the shortest."""
+    out, seen = [], {}
+    for w, _, n, p in sorted(best, key=lambda r: (-r[1], len(r[0]), r[0])):
+        stem = w.partition("#")[0].lstrip("^")
+        if any(stem.startswith(k) or k.startswith(stem) for k in seen.setdefault((n, p), [])):
+            continue
+        seen[n, p].append(stem)
+        out.append(w)
+    return out[:VOCABULARY]
+
+
 def fit_chain(
     docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE
 ) -> Chain:
@@ -88,12 +127,10 @@ def fit_chain(
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(w=[sorted(words(t)) for t in f.pop("text")])
+            yield f.assign(w=[sorted(features(t)) for t in f.pop("text")])
 
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
-    rows = picked.mapInPandas(tokens, f"__id {dict(docs.dtypes)[id_col]}, {', '.join(f'{y} int' for y in ys)}, text string, w array<string>".replace("text string, ", ""))
-    from .shared import release, written
-
+    rows = picked.mapInPandas(tokens, f"__id {dict(docs.dtypes)[id_col]}, {', '.join(f'{y} int' for y in ys)}, w array<string>")
     rows = written(rows, "labelled")
     totals = rows.agg(*[f for y in ys for f in (F.count(y), F.coalesce(F.sum(y), F.lit(0)))]).first()
     counts = rows.select(F.explode("w").alias("w"), *ys).groupBy("w").agg(
@@ -105,11 +142,11 @@ def fit_chain(
         a, b = F.col(f"p{y}"), F.col(f"n{y}") - F.col(f"p{y}")
         c, d = pos - a, (n - pos) - b
         chi = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * pos * (n - pos)) if 0 < pos < n else F.lit(0.0)
-        best = counts.where(F.col(f"n{y}") >= 3).select("w", chi.alias("chi")).where("chi > 15").orderBy(F.desc("chi"), "w").limit(VOCABULARY)
-        vocabularies.append([r[0] for r in best.collect()])
+        best = counts.where(F.col(f"n{y}") >= 3).select("w", chi.alias("chi"), f"n{y}", f"p{y}").where("chi > 15").orderBy(F.desc("chi"), "w").limit(CANDIDATES)
+        vocabularies.append(_apart([tuple(r) for r in best.collect()]))
     known = sorted({w for v in vocabularies for w in v})
     at = {w: i for i, w in enumerate(known)}
-    # At most ``sample`` rows, each with the few chosen words it has.
+    # At most ``sample`` rows, each with the few chosen features it has.
     got = rows.select("__id", *ys, F.array_intersect("w", F.array(*[F.lit(w) for w in known]).cast("array<string>")).alias("w"), F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(FOLDS)).alias("fold")).collect()
     release(rows)
     x = np.zeros((len(got), len(known)))
@@ -141,12 +178,13 @@ def fit_chain(
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and the chain's probability of each category, over whole texts; a null or empty text has no words."""
+    """``id_col`` and the chain's probability of each category, over whole texts; a null or empty text has no features."""
     names = [f"p_{link.category}" for link in chain.links]
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Known([w for link in chain.links for w in link.weights])
         for f in frames:
-            p = np.array([chain.predict(words(t)) for t in f["text"]]).reshape(len(f), len(names))
+            p = np.array([chain.predict(features(t, known.__getitem__)) for t in f["text"]]).reshape(len(f), len(names))
             yield pd.DataFrame({"id": f["id"]} | {n: p[:, i] for i, n in enumerate(names)})
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
