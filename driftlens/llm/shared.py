@@ -85,6 +85,12 @@ def salted(big: DataFrame, side: DataFrame, on: list[str], how: str = "left", sa
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
+def joined(big: DataFrame, side: DataFrame, on: list[str], row_bytes: int, how: str = "left") -> DataFrame:
+    """Join one row per key: broadcast if its counted size allows it, else salted."""
+    hinted = small(side, row_bytes)
+    return salted(big, side, on, how) if hinted is side else big.join(hinted, on, how)
+
+
 def bytes_of(text) -> "F.Column":
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")

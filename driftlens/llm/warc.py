@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, salted, small, written
+from .shared import joined, salted, written
 
 #: A WARC file is closed once it holds so many compressed bytes.
 FILE_BYTES = 256 << 20
@@ -35,8 +35,8 @@ def _record_id(row: Column) -> Column:
 def _headers(df: DataFrame) -> DataFrame:
     """Exact header bytes of each record: the WARC block and, with a response, the HTTP head."""
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))
-    # A url can't break a header: whatever isn't printable ASCII is escaped.
-    uri = F.coalesce(F.regexp_replace(F.url_encode("__url"), "%(2F|3A|3F|3D|26|23|25|2B|2C|40|7E|3B)", "%$1"), F.lit("urn:none"))
+    # White space and control characters would break the header.
+    uri = F.coalesce(F.regexp_replace("__url", r"[\x00-\x20\x7F]+", "%20"), F.lit("urn:none"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n")
     )
@@ -67,7 +67,7 @@ def _headers(df: DataFrame) -> DataFrame:
 def write_archive(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0
 ) -> None:
-    """Write ``pages`` to ``path``: tables ``payloads`` and ``headers``, and WARC files listed in ``manifest``.
+    """Write ``pages`` to ``path``: a table of payloads, one of headers, and WARC files that a manifest lists.
 
     Of equal payloads of at least ``min_bytes`` bytes the one with the smallest
     id (then the first row; null ids come last) is the response, the others
@@ -92,16 +92,16 @@ def write_archive(
         "digests",
     )
     owners = (
-        digests.where(F.col("bytes") >= min_bytes)
-        .groupBy("sha256", "sha1", "bytes")
+        digests.groupBy("sha256", "sha1", "bytes")
         .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("o"))
         .select("sha256", "sha1", "bytes", F.col("o.id").alias("owner_id"), F.col("o.row").alias("owner_row"))
     )
     owned = salted(digests, owners, ["sha256", "sha1", "bytes"])
-    revisit = F.col("owner_row").isNotNull() & (F.col("owner_row") != F.col("row"))
-    _headers(owned.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))).select(
-        "row", "id", "bytes", "sha1", "sha256", "record_type", "owner_id", "header"
-    ).write.parquet(f"{path}/headers")
+    stores = F.col("owner_row") == F.col("row")
+    typed = owned.withColumn("record_type", F.when(~stores & (F.col("bytes") >= min_bytes), "revisit").otherwise("response"))
+    _headers(typed.withColumn("stores", stores)).select(
+        "row", "id", "bytes", "sha1", "sha256", "record_type", "stores", "owner_id", "header"
+    ).write.option("compression", "zstd").parquet(f"{path}/headers")
     # Copies are folded into one before the shuffle; the check hash tells a false match.
     stored = (
         pages.select(sha256.alias("sha256"), payload.alias("payload"))
@@ -110,23 +110,28 @@ def write_archive(
         .agg(F.first("payload").alias("payload"), F.min("check").alias("c0"), F.max("check").alias("c1"))
         .select("sha256", F.when(F.col("c0") == F.col("c1"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads share a digest"))).alias("payload"))
     )
-    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    records(spark, path, whole=False).mapInArrow(_writer(path), "file string, records long").write.parquet(f"{path}/manifest")
+    heads = spark.read.parquet(f"{path}/headers").select("sha256", "header", "stores", "record_type")
+    responses = heads.where("record_type = 'response'").join(stored, "sha256")
+    revisits = heads.where("record_type = 'revisit'").withColumn("payload", F.lit(b""))
+    # One pass, so one shuffle of payloads, makes both the files and the table of payloads.
+    made = responses.unionByName(revisits).select("sha256", "header", "stores", "payload").mapInArrow(_writer(path), _MADE)
+    made.write.option("compression", "zstd").parquet(f"{path}/store")
 
 
-def records(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """Rebuild records by joining headers to payloads: ``row``, ``id``, ``header``, ``payload``.
+def payloads(spark: SparkSession, path: str) -> DataFrame:
+    """Each distinct payload once: ``sha256``, ``payload``."""
+    return spark.read.parquet(f"{path}/store").where("file is null").select("sha256", "payload")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The archive's WARC files and their numbers of records."""
+    return spark.read.parquet(f"{path}/store").where("file is not null").select("file", "records")
 
-    With ``whole`` revisits carry the payload they refer to, without it none, as in a file.
-    """
-    heads = spark.read.parquet(f"{path}/headers")
-    stored = spark.read.parquet(f"{path}/payloads")
-    full = heads if whole else heads.where("record_type = 'response'")
-    out = salted(full, stored, ["sha256"], "inner") if whole else full.join(stored, "sha256")
-    out = out.select("row", "id", "header", "payload")
-    if whole:
-        return out
-    return out.unionByName(heads.where("record_type = 'revisit'").select("row", "id", "header", F.lit(b"").alias("payload")))
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """Rebuild the original records by joining headers to payloads: ``row``, ``id``, ``header``, ``payload``."""
+    heads = spark.read.parquet(f"{path}/headers").select("row", "id", "header", "sha256")
+    return salted(heads, payloads(spark, path), ["sha256"], "inner").select("row", "id", "header", "payload")
 
 
 def _open(path: str, mode: str):
@@ -139,6 +144,9 @@ def _open(path: str, mode: str):
     return system.open_input_stream(at, compression=None)
 
 
+_MADE = "sha256 binary, payload binary, file string, records long"
+
+
 def _writer(path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One gzip member per record. A retried task writes new files; only those in the manifest count."""
@@ -155,11 +163,14 @@ def _writer(path: str):
                     out.close()
                     made.append((name, n))
                     out = None
+            own = pa.Table.from_batches([batch]).filter(batch.column("stores")).select(["sha256", "payload"])
+            yield from own.append_column("file", pa.nulls(len(own), pa.string())).append_column("records", pa.nulls(len(own), pa.int64())).to_batches()
         if out is not None:
             out.close()
             made.append((name, n))
-        yield pa.RecordBatch.from_pydict(
-            {"file": pa.array([f for f, _ in made], pa.string()), "records": pa.array([k for _, k in made], pa.int64())}
+        empty = pa.nulls(len(made), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [empty, empty, pa.array([f for f, _ in made], pa.string()), pa.array([k for _, k in made], pa.int64())], ["sha256", "payload", "file", "records"]
         )
 
     return write
@@ -219,7 +230,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    files = spark.read.parquet(f"{path}/manifest").select("file")
+    files = manifest(spark, path).select("file")
     return files.repartition(max(1, files.count())).mapInArrow(parse, _READ)
 
 
@@ -227,7 +238,7 @@ def archived(spark: SparkSession, path: str, id_col: str = "page_id", id_type: s
     """Per record of the WARC files: id, full payload's bytes and digest, type, and the id it refers to."""
     got = written(read_archive(spark, path, payloads=False).drop("payload"), "records")
     sizes = got.where("warc_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("payload_bytes").alias("__bytes"))
-    out = salted(got, small(sizes, 96, BROADCAST_BYTES), ["refers_to_record"])
+    out = joined(got, sizes, ["refers_to_record"], 96)
     return out.select(
         F.col("id").cast(id_type).alias(id_col),
         F.coalesce("payload_bytes", "__bytes").alias("payload_bytes"),
