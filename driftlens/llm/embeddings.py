@@ -15,7 +15,7 @@ from .components import connected_components
 from .shared import release, salted, written
 
 #: Chance that a pair right at the threshold shares no filter.
-MISS = 0.001
+MISS = 0.0001
 #: Vectors of a filter that one task compares with as many others.
 BLOCK = 4096
 
@@ -42,7 +42,7 @@ class ProductCode:
         # Both scores exceed the height for a share of directions; their mean is a Poisson's.
         probe = rng.normal(size=(200_000, 2))
         pair = np.minimum(probe[:, 0], similarity * probe[:, 0] + math.sqrt(1 - similarity**2) * probe[:, 1])
-        want = 2 * math.log(1 / miss)
+        want = self.least = 2 * math.log(1 / miss)
         share = min(0.5, want / total)
         if share * len(pair) >= 20:
             z = float(np.quantile(pair, 1 - share))
@@ -62,6 +62,11 @@ class ProductCode:
         for i in range(len(x)):
             # Second codewords that go with each first one form a prefix of the ranking.
             n = np.searchsorted(-ranked[i], first[i] - self.height, side="right")
+            if n.sum() < self.least:  # lies badly to the codes, and so do its neighbours: they share its best directions
+                k = min(total := first.shape[1] * second.shape[1], 2 * math.ceil(self.least))
+                scores = (first[i][:, None] + second[i][None, :]).ravel()
+                out.append(np.argpartition(-scores, k - 1)[:k] if k < total else np.arange(total))
+                continue
             a = np.repeat(np.arange(self.words), n)
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             out.append(a * self.words + order[i][within])
@@ -115,6 +120,19 @@ def _compare(similarity: float):
                 v = parent[v]
             return v
 
+        # Filters before this one, padded so that no pad equals another.
+        before = [v[v < name] for v in lists]
+        width = max(1, max(map(len, before)))
+        grid = -1 - np.arange(len(x))[:, None] * np.ones((1, width), np.int64)
+        for k, v in enumerate(before):
+            grid[k, : len(v)] = v
+
+        def shared(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            step, out = max(1, 4_000_000 // width**2), [np.zeros(0, bool)]
+            for s in range(0, len(i), step):
+                out.append((grid[i[s : s + step], :, None] == grid[j[s : s + step], None, :]).any(axis=(1, 2)))
+            return np.concatenate(out)
+
         for s in range(0, len(x), 1024):
             i, j = np.nonzero(x[s : s + 1024] @ x.T >= similarity - 1e-9)
             i += s
@@ -125,8 +143,8 @@ def _compare(similarity: float):
             # The decision takes one order of summation, whatever block the pair came from.
             ok = np.einsum("nd,nd->n", x[i], x[j]) >= similarity
             i, j = i[ok], j[ok]
-            mine = [np.intersect1d(lists[p], lists[q], assume_unique=True)[0] == name for p, q in zip(i, j)]
-            i, j = i[np.array(mine, bool)], j[np.array(mine, bool)]
+            mine = ~shared(i, j)
+            i, j = i[mine], j[mine]
             np.add.at(count, i, weight[j])
             np.add.at(count, j, weight[i])
             for p, q in zip(i.tolist(), j.tolist()):

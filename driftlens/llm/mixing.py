@@ -135,6 +135,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: dict | None = None,
 ) -> DataFrame:
     """How many words a mix takes of each document, so that each source meets its target.
 
@@ -144,7 +145,8 @@ def mix_sources(
     source's words miss its target by at most half a document.
 
     Returns one row per row of ``df``: ``id_col``, ``size`` (words of the text,
-    0 for null), ``source_size``, ``target``, ``copies``, ``taken``. Equal
+    0 for null), ``source_size``, ``target``, ``copies``, ``taken``, and what ``carry``
+    names as expressions over ``df``. Equal
     inputs give equal mixes. Null sources form one source, the last; texts
     without words take none; repeated rows are separate documents; extra
     columns are ignored; an empty table gives no rows.
@@ -155,6 +157,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.monotonically_increasing_id().alias("row"),
+            *[c.alias(f"__carry_{n}") for n, c in (carry or {}).items()],
         ),
         "sizes",
     )
@@ -171,5 +174,6 @@ def mix_sources(
     out = full.join(rounded, "row", "left")
     n = F.col("whole") + F.coalesce(F.col("one").cast("long"), F.lit(0))
     return out.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", n.cast("long").alias("copies"), (n * F.col("size")).cast("long").alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", n.cast("long").alias("copies"), (n * F.col("size")).cast("long").alias("taken"),
+        *[F.col(f"__carry_{c}").alias(c) for c in carry or {}],
     )

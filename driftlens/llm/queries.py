@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, exact_dedup, mixing, packing, simhash, toxicity, url_filter, warc
+from . import embeddings, exact_dedup, line_dedup, mixing, packing, simhash, substrings, toxicity, url_filter, warc
 from .shared import new_path, ship
 
 
@@ -43,6 +43,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("data")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), path, min_bytes=0)
@@ -63,6 +71,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_warc": op5_warc,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_simhash": op7_simhash,

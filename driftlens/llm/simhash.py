@@ -212,7 +212,7 @@ def _verify(most: int):
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Classes of documents linked by shingle sets of Jaccard similarity 0.8 or more.
 
     Words are lower-cased runs of letters and digits; five in a row are a
@@ -226,7 +226,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``BLOCK_BYTES`` if it is large. Verified links form the classes.
 
     Returns one row per input row: ``id_col``, ``class_id`` (smallest id of the
-    class), ``class_size`` and ``kept`` (one row of each class). Null counts as
+    class), ``class_size``, ``kept`` (one row of each class) and with ``digests``
+    the text's MD5. Null counts as
     empty; texts without words are alike only if identical. Ids may be null
     (counted last) or repeat; extra columns are ignored.
     """
@@ -274,10 +275,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = written(connected_components(links), "linked")
     of = salted(base.select("row", "id", "digest"), classes.select("digest", "cid"), ["digest"])
     grouped = written(
-        salted(of, linked.select(F.col("id").alias("cid"), "component"), ["cid"]).select("row", "id", F.coalesce("component", "cid").alias("component")), "grouped"
+        salted(of, linked.select(F.col("id").alias("cid"), "component"), ["cid"]).select("row", "id", *["digest"] * digests, F.coalesce("component", "cid").alias("component")), "grouped"
     )
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("f"), F.count("*").alias("n"))
     release(whole)
     return salted(grouped, first, ["component"]).select(
-        F.col("id").alias(id_col), F.col("f.id").alias("class_id"), F.col("n").alias("class_size"), (F.col("f.row") == F.col("row")).alias("kept")
+        F.col("id").alias(id_col), F.col("f.id").alias("class_id"), F.col("n").alias("class_size"), (F.col("f.row") == F.col("row")).alias("kept"), *["digest"] * digests
     )

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,6 +193,19 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
+def keep(docs: DataFrame, chain: Chain, target: str, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, as they are, that the chain does not find ``target``."""
+    at = [link.category for link in chain.links].index(target)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known([w for link in chain.links for w in link.weights])
+        for b in batches:
+            ok = [chain.predict(features(t, known.__getitem__))[at] < threshold for t in b.column(text_col).to_pylist()]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def flag_toxic(
     docs: DataFrame, labels: DataFrame, categories=("quality", "toxic"), target: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
