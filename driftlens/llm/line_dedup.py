@@ -15,7 +15,7 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 8, 3
 #: Distinct lines in a bucket beyond which further minima split it.
 BUCKET = 256
 _draw = random.Random(1905)
-#: Multiply-shift hashes: odd factors of 31 bits for 31-bit shingle hashes, so that no product overflows.
+#: Orders of 31-bit shingle hashes by their products with odd 31-bit factors modulo 2**32; no product overflows.
 _FACTORS = [_draw.randrange(1 << 30, 1 << 31) | 1 for _ in range(BANDS * ROWS)]
 
 
@@ -56,7 +56,9 @@ def signatures(lines: DataFrame) -> DataFrame:
     at = F.explode(F.sequence(F.lit(1), F.greatest(units - (2 * SHINGLE - 1), F.lit(1)), F.lit(2)))
     each = rows.select("digest", "w", at.alias("i"))
     h = F.xxhash64(F.substring(F.col("w"), F.col("i"), F.lit(2 * SHINGLE))).bitwiseAND(F.lit((1 << 31) - 1))
-    minima = [F.min(F.shiftright(F.col("h") * F.lit(a), 31)).alias(f"m{k}") for k, a in enumerate(_FACTORS)]
+    minima = [
+        F.min(F.shiftright((F.col("h") * F.lit(a)).bitwiseAND(F.lit((1 << 32) - 1)), 1)).alias(f"m{k}") for k, a in enumerate(_FACTORS)
+    ]
     return each.select("digest", h.alias("h")).groupBy("digest").agg(*minima)
 
 
