@@ -142,7 +142,8 @@ def fit_chain(
         n, pos = float(totals[2 * i]), float(totals[2 * i + 1])
         a, b = F.col(f"p{y}"), F.col(f"n{y}") - F.col(f"p{y}")
         c, d = pos - a, (n - pos) - b
-        chi = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * pos * (n - pos)) if 0 < pos < n else F.lit(0.0)
+        # Null for what every text shows, which tells nothing.
+        chi = F.try_divide(n * (a * d - b * c) ** 2, (a + b) * (c + d) * pos * (n - pos)) if 0 < pos < n else F.lit(0.0)
         best = counts.where(F.col(f"n{y}") >= 3).select("w", chi.alias("chi"), f"n{y}", f"p{y}").where("chi > 15").orderBy(F.desc("chi"), "w").limit(CANDIDATES)
         vocabularies.append(_apart([tuple(r) for r in best.collect()]))
     known = sorted({w for v in vocabularies for w in v})
