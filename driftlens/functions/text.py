@@ -48,7 +48,8 @@ def segments(name) -> Column:
 
 
 def jaccard(a, b) -> Column:
-    return F.size(F.array_intersect(_col(a), _col(b))) / F.size(F.array_union(_col(a), _col(b)))
+    """Shared over all elements of two arrays; null for two empty ones."""
+    return F.try_divide(F.size(F.array_intersect(_col(a), _col(b))), F.size(F.array_union(_col(a), _col(b))))
 
 
 def mask_types(t) -> Column:
