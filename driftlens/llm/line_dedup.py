@@ -40,18 +40,22 @@ def line_rows(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != text_col], F.posexplode(lines).alias("line_no", "line"))
 
 
-def _starts(line: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.length(line) - (SHINGLE - 1), F.lit(1)))
+def _shingles(wide: Column) -> Column:
+    """Distinct hashes of the character shingles of a line in UTF-16; a shorter line is its own shingle."""
+    last = F.greatest(F.octet_length(wide) - (2 * SHINGLE - 1), F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last, F.lit(2)), lambda i: F.xxhash64(F.substring(wide, i, F.lit(2 * SHINGLE)))))
 
 
-def shingle_set(line: Column) -> Column:
-    """Distinct hashes of a line's character shingles; a shorter line is its own shingle."""
-    return F.array_distinct(F.transform(_starts(line), lambda i: F.xxhash64(F.substring(line, i, F.lit(SHINGLE)))))
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is named: it is bound as a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+def alike(x: Column, y: Column, similarity: float = SIMILARITY) -> Column:
+    """Whether the shingle sets of two lines have a Jaccard similarity of at least ``similarity``."""
+    sets = [_once(F.encode(c, "UTF-16BE"), _shingles) for c in (x, y)]
+    enough = lambda p: F.size(F.array_intersect(p["a"], p["b"])) * (1 + similarity) >= similarity * (F.size(p["a"]) + F.size(p["b"])) - 1e-9
+    return _once(F.struct(sets[0].alias("a"), sets[1].alias("b")), enough)
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -161,7 +165,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     left = joined(pairs, texts.select(F.col("cid").alias("a"), F.col("line").alias("x")), ["a"], 1024, "inner")
     both = joined(left, texts.select(F.col("cid").alias("b"), F.col("line").alias("y")), ["b"], 1024, "inner")
     near = F.least(F.length("x"), F.length("y")) - SHINGLE + 1 >= 0.25 * (F.greatest(F.length("x"), F.length("y")) - SHINGLE + 1)
-    links = both.where(near).where(jaccard(shingle_set(F.col("x")), shingle_set(F.col("y"))) >= SIMILARITY).select("a", "b")
+    links = both.where(near).where(alike(F.col("x"), F.col("y"))).select("a", "b")
     comps = written(connected_components(links), "components")
     release(texts)
     of = joined(ids, comps.withColumnRenamed("id", "cid"), ["cid"], 24).select("digest", F.coalesce("component", "cid").alias("component"))
