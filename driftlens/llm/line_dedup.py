@@ -12,8 +12,6 @@ from .shared import bitmap_filter, joined, release, salted, written
 
 #: Characters to a shingle, least Jaccard similarity, bands and rows of the signature.
 SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 8, 3
-#: One in so many shingles signs a line; under so many characters all of them do too.
-SAMPLE, SHORT = 4, 100
 #: Distinct lines in a bucket beyond which further minima split it.
 BUCKET = 256
 _draw = random.Random(1905)
@@ -59,29 +57,21 @@ def alike(x: Column, y: Column, similarity: float = SIMILARITY) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """MinHash minima ``m0``, ``m1``, ... of ``line`` by ``digest`` and ``every``, for rows already partitioned by digest.
+    """MinHash minima ``m0``, ``m1``, ... of ``line`` by ``digest``, for rows already partitioned by digest.
 
     Each shingle is a row of one codegen stage: hashed once, then folded to
-    all minima by a hash aggregate that needs no further exchange. Every line
-    has a signature of the shingles whose hash falls to one in ``SAMPLE``, as
-    good as one of all where there are many; a line under ``SHORT`` characters
-    also has one of all its shingles (``every``), met by lines like it.
+    all minima by a hash aggregate that needs no further exchange. All
+    shingles of a line sign it, whatever its length.
     """
     # Two bytes a character: a shingle is then a slice, whatever stands before it.
-    wide = F.encode("line", "UTF-16BE")
-    units = F.octet_length("w")
-    rows = lines.select("digest", wide.alias("w")).withColumn("short", units < 2 * SHORT)
-    at = F.explode(F.sequence(F.lit(1), F.greatest(units - (2 * SHINGLE - 1), F.lit(1)), F.lit(2)))
-    each = rows.select("digest", "short", "w", at.alias("i"))
+    rows = lines.select("digest", F.encode("line", "UTF-16BE").alias("w"))
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.octet_length("w") - (2 * SHINGLE - 1), F.lit(1)), F.lit(2)))
     h = F.xxhash64(F.substring(F.col("w"), F.col("i"), F.lit(2 * SHINGLE)))
-    # The sample is drawn by bits that the minima don't use.
-    drawn = F.shiftrightunsigned(h, 60).bitwiseAND(F.lit(SAMPLE - 1)) == 0
-    each = each.select("digest", "short", h.bitwiseAND(F.lit((1 << 31) - 1)).alias("h"), drawn.alias("drawn")).where("short or drawn")
+    each = rows.select("digest", "w", at.alias("i")).select("digest", h.bitwiseAND(F.lit((1 << 31) - 1)).alias("h"))
     minima = [
         F.min(F.shiftright((F.col("h") * F.lit(a)).bitwiseAND(F.lit((1 << 32) - 1)), 1)).alias(f"m{k}") for k, a in enumerate(_FACTORS)
     ]
-    both = each.select("digest", "h", F.explode(F.when(F.col("short") & F.col("drawn"), F.array(F.lit(True), F.lit(False))).otherwise(F.array("short"))).alias("every"))
-    return both.groupBy("digest", "every").agg(*minima)
+    return each.groupBy("digest").agg(*minima)
 
 
 def _pairs(banded: DataFrame, level: int = 0) -> DataFrame:
@@ -128,8 +118,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Lines are cut at newlines and compared in lower case with runs of white
     space as one blank; equal ones are folded first. ``BANDS`` bands of
-    ``ROWS`` minima make candidates of a pair whose signed shingles are 0.8
-    alike with a chance of 0.997; a
+    ``ROWS`` minima make candidates of a pair at 0.8 with a chance of 0.997; a
     bucket over ``BUCKET`` distinct lines is split by further minima, in
     several ways. Every candidate is verified by exact Jaccard.
 
@@ -149,13 +138,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     minima = [f"m{k}" for k in range(BANDS * ROWS)]
     signed = signatures(distinct).join(ids, "digest")
     narrow = F.array(*[F.col(m).cast("int") for m in minima])
-    signed = written(signed.select("cid", "every", narrow.alias("minima")), "signatures")
+    signed = written(signed.select("cid", narrow.alias("minima")), "signatures")
     keys = F.explode(
-        F.array(*[F.xxhash64("every", F.lit(b), *[F.element_at("minima", b * ROWS + r + 1) for r in range(ROWS)]) for b in range(BANDS)])
+        F.array(*[F.xxhash64(F.lit(b), *[F.element_at("minima", b * ROWS + r + 1) for r in range(ROWS)]) for b in range(BANDS)])
     )
     # Lines of one signature are near each other all but surely: a star, whatever their number.
-    heads = written(signed.groupBy("every", "minima").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")), "heads")
-    stars = salted(signed, heads.where("last > cid").select("every", "minima", F.col("cid").alias("a")), ["every", "minima"], "inner").where("a <> cid")
+    heads = written(signed.groupBy("minima").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")), "heads")
+    stars = salted(signed, heads.where("last > cid").select("minima", F.col("cid").alias("a")), ["minima"], "inner").where("a <> cid")
     pairs = written(_pairs(heads.select(keys.alias("key"), "cid", "minima")).unionByName(stars.select("a", F.col("cid").alias("b"))).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(ids, "cid")
     wanted = written(wanted.withColumn("h", F.xxhash64("digest")), "wanted")

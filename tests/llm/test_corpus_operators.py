@@ -153,6 +153,12 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_long_lines_of_few_shingles_are_signed(spark):
+    texts = [x * n for x in ("=", "-", "#", "*", "~", "ab ", "+-", "_") for n in (120, 130)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.kept) == list(range(0, len(texts), 2))
+
+
 def test_warc_round_trip(spark):
     ship(spark)
     big = "é" * 300_000
