@@ -49,11 +49,11 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def alike(x: Column, y: Column, similarity: float = SIMILARITY) -> Column:
-    """Whether the shingle sets of two lines have a Jaccard similarity of at least ``similarity``."""
+def jaccard(x: Column, y: Column) -> Column:
+    """Jaccard similarity of the shingle sets of two lines."""
     sets = [_once(F.encode(c, "UTF-16BE"), _shingles) for c in (x, y)]
-    enough = lambda p: F.size(F.array_intersect(p["a"], p["b"])) * (1 + similarity) >= similarity * (F.size(p["a"]) + F.size(p["b"])) - 1e-9
-    return _once(F.struct(sets[0].alias("a"), sets[1].alias("b")), enough)
+    shared = lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("n"), (F.size(p["a"]) + F.size(p["b"])).alias("all"))
+    return _once(_once(F.struct(sets[0].alias("a"), sets[1].alias("b")), shared), lambda c: c["n"] / (c["all"] - c["n"]))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -113,6 +113,32 @@ def _within(members: DataFrame, salts: int = 4) -> DataFrame:
     return left.join(right, ["key", "s"]).where("a < b").select("a", "b")
 
 
+def _crossing(judged: DataFrame, comps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs ``a``, ``b`` of lines that only their heads stood for: candidates that are not judged yet nor of one component.
+
+    ``judged``: ``a``, ``b``, ``star`` (``b`` has the signature of head ``a``;
+    else both are heads) and distance ``d``; ``comps``: ``id``, ``component``.
+    Distance 1 - Jaccard is a metric: pairs that the distances by way of their
+    heads put too far apart are left out.
+    """
+    far = 1 - similarity + 1e-9
+    stars = judged.where("star").select(F.col("a").alias("head"), F.col("b").alias("cid"), "d")
+    heads = judged.select(F.col("a").alias("cid")).unionByName(judged.where("not star").select(F.col("b").alias("cid"))).distinct()
+    members = stars.unionByName(heads.select(F.col("cid").alias("head"), "cid", F.lit(0.0).alias("d")))
+    members = members.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("c", F.coalesce("component", "cid")).drop("component")
+    members = written(members, "members")
+    spans = members.groupBy("head").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("d").alias("most"), F.count("*").alias("n"))
+    side = lambda d, at, more: d.select(F.col("head").alias(at), *[F.col(c).alias(f"{c}_{at}") for c in more])
+    groups = judged.where("not star").select("a", "b", "d").unionByName(spans.where("n > 1").select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(0.0).alias("d")))
+    of = ["low", "high", "most", "n"]
+    groups = groups.join(side(spans, "a", of), "a").join(side(spans, "b", of), "b").where("n_a > 1 or n_b > 1")
+    groups = groups.where(F.least("low_a", "low_b") < F.greatest("high_a", "high_b")).where(F.col("d") - F.col("most_a") - F.col("most_b") <= far)
+    both = groups.select("a", "b", "d").join(side(members, "a", ["cid", "c", "d"]), "a").join(side(members, "b", ["cid", "c", "d"]), "b")
+    apart = F.greatest(F.col("d") - F.col("d_a") - F.col("d_b"), F.col("d_a") - F.col("d_b") - F.col("d"), F.col("d_b") - F.col("d_a") - F.col("d"))
+    new = F.when(F.col("a") == F.col("b"), (F.col("cid_a") < F.col("cid_b")) & (F.col("cid_a") != F.col("a"))).otherwise((F.col("cid_a") != F.col("a")) | (F.col("cid_b") != F.col("b")))
+    return both.where("c_a <> c_b").where(new & (apart <= far)).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link lines whose character shingles have a Jaccard similarity of 0.8 or more; keep one of each component.
 
@@ -120,7 +146,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     space as one blank; equal ones are folded first. ``BANDS`` bands of
     ``ROWS`` minima make candidates of a pair at 0.8 with a chance of 0.997; a
     bucket over ``BUCKET`` distinct lines is split by further minima, in
-    several ways. Every candidate is verified by exact Jaccard.
+    several ways. Every candidate is verified by exact Jaccard. Of lines with
+    all minima in common one goes to the bands; the others' pairs are compared
+    then where their components are still apart.
 
     Returns a row per line: ``id_col``, ``line_no``, ``class_row`` (the line
     that its class keeps: the first by row of the table and line number),
@@ -142,20 +170,32 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keys = F.explode(
         F.array(*[F.xxhash64(F.lit(b), *[F.element_at("minima", b * ROWS + r + 1) for r in range(ROWS)]) for b in range(BANDS)])
     )
-    # Lines of one signature are near each other all but surely: a star, whatever their number.
+    # Lines of one signature are near each other all but surely: a star stands for them, whatever their number.
     heads = written(signed.groupBy("minima").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")), "heads")
     stars = salted(signed, heads.where("last > cid").select("minima", F.col("cid").alias("a")), ["minima"], "inner").where("a <> cid")
-    pairs = written(_pairs(heads.select(keys.alias("key"), "cid", "minima")).unionByName(stars.select("a", F.col("cid").alias("b"))).distinct(), "pairs")
+    met = _pairs(heads.select(keys.alias("key"), "cid", "minima")).distinct().withColumn("star", F.lit(False))
+    pairs = written(met.unionByName(stars.select("a", F.col("cid").alias("b"), F.lit(True).alias("star"))), "pairs")
+    release(signed, heads)
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(ids, "cid")
     wanted = written(wanted.withColumn("h", F.xxhash64("digest")), "wanted")
     some = bitmap_filter(keyed.withColumn("h", F.xxhash64("digest")), "h", wanted.select("h"), "may").where("may")
     texts = some.groupBy("digest").agg(F.first("line").alias("line"))
     texts = written(texts.join(wanted, "digest").select("cid", "line"), "texts")
-    left = joined(pairs, texts.select(F.col("cid").alias("a"), F.col("line").alias("x")), ["a"], 1024, "inner")
-    both = joined(left, texts.select(F.col("cid").alias("b"), F.col("line").alias("y")), ["b"], 1024, "inner")
+
+    def both(pairs: DataFrame) -> DataFrame:
+        left = joined(pairs, texts.select(F.col("cid").alias("a"), F.col("line").alias("x")), ["a"], 1024, "inner")
+        return joined(left, texts.select(F.col("cid").alias("b"), F.col("line").alias("y")), ["b"], 1024, "inner")
+
     near = F.least(F.length("x"), F.length("y")) - SHINGLE + 1 >= 0.25 * (F.greatest(F.length("x"), F.length("y")) - SHINGLE + 1)
-    links = both.where(near).where(alike(F.col("x"), F.col("y"))).select("a", "b")
+    judged = written(both(pairs).where(near).select("a", "b", "star", (1 - jaccard(F.col("x"), F.col("y"))).alias("d")), "judged")
+    links = judged.where(F.col("d") <= 1 - SIMILARITY + 1e-9).select("a", "b")
     comps = written(connected_components(links), "components")
+    if judged.where("star").limit(1).count():
+        more = written(_crossing(judged, comps), "crossing")
+        if more.limit(1).count():
+            found = both(more).where(near).where(jaccard(F.col("x"), F.col("y")) >= SIMILARITY - 1e-9).select("a", "b")
+            hung = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            comps = written(connected_components(hung.unionByName(found)), "components")
     release(texts)
     of = joined(ids, comps.withColumnRenamed("id", "cid"), ["cid"], 24).select("digest", F.coalesce("component", "cid").alias("component"))
     classed = written(salted(lines, of, ["digest"]).withColumn("component", F.coalesce("component", "row")).drop("digest"), "classed")

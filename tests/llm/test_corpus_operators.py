@@ -159,6 +159,37 @@ def test_long_lines_of_few_shingles_are_signed(spark):
     assert sorted(r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.kept) == list(range(0, len(texts), 2))
 
 
+def test_lines_of_equal_signatures_link_past_their_heads(spark, monkeypatch):
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(140))
+    # 100 shingles each; shifts by 11 are 89 of 111 alike, by 22 only 78 of 122.
+    h, x, y, g = (base[k : k + 107] for k in (0, 11, 22, 33))
+    df = spark.createDataFrame([(0, "\n".join([h, g, x, y]))], "doc_id long, text string")
+
+    def signatures(lines):
+        last = F.when(F.col("line").isin(h, x), 1).otherwise(2)
+        return lines.select("digest", *[(last if k == 23 else F.lit(7)).alias(f"m{k}") for k in range(24)])
+
+    monkeypatch.setattr(line_dedup, "signatures", signatures)
+    assert [r.line_no for r in line_dedup.dedup_lines(df).collect() if r.kept] == [0]
+
+
+def test_lines_that_fail_against_their_head_keep_their_other_links(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    x, y = word(107), word(107)
+    lines = [word(107), x, x[3:] + "abc", word(107), y, y[5:] + "abcde"]
+    df = spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string")
+
+    def signatures(rows):
+        # The first three lines share all minima, and so do the last two; the two groups meet in a band.
+        last = F.when(F.col("line").isin(lines[:3]), 1).when(F.col("line") == lines[3], 3).otherwise(2)
+        return rows.select("digest", *[(last if k == 23 else F.lit(7)).alias(f"m{k}") for k in range(24)])
+
+    monkeypatch.setattr(line_dedup, "signatures", signatures)
+    assert sorted(r.line_no for r in line_dedup.dedup_lines(df).collect() if r.kept) == [0, 1, 3, 4]
+
+
 def test_warc_round_trip(spark):
     ship(spark)
     big = "é" * 300_000
