@@ -186,14 +186,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         left = joined(pairs, texts.select(F.col("cid").alias("a"), F.col("line").alias("x")), ["a"], 1024, "inner")
         return joined(left, texts.select(F.col("cid").alias("b"), F.col("line").alias("y")), ["b"], 1024, "inner")
 
-    near = F.least(F.length("x"), F.length("y")) - SHINGLE + 1 >= 0.25 * (F.greatest(F.length("x"), F.length("y")) - SHINGLE + 1)
-    judged = written(both(pairs).where(near).select("a", "b", "star", (1 - jaccard(F.col("x"), F.col("y"))).alias("d")), "judged")
+    judged = written(both(pairs).select("a", "b", "star", (1 - jaccard(F.col("x"), F.col("y"))).alias("d")), "judged")
     links = judged.where(F.col("d") <= 1 - SIMILARITY + 1e-9).select("a", "b")
     comps = written(connected_components(links), "components")
     if judged.where("star").limit(1).count():
         more = written(_crossing(judged, comps), "crossing")
         if more.limit(1).count():
-            found = both(more).where(near).where(jaccard(F.col("x"), F.col("y")) >= SIMILARITY - 1e-9).select("a", "b")
+            found = both(more).where(jaccard(F.col("x"), F.col("y")) >= SIMILARITY - 1e-9).select("a", "b")
             hung = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
             comps = written(connected_components(hung.unionByName(found)), "components")
     release(texts)

@@ -159,6 +159,12 @@ def test_long_lines_of_few_shingles_are_signed(spark):
     assert sorted(r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.kept) == list(range(0, len(texts), 2))
 
 
+def test_lines_of_one_shingle_set_and_unlike_length(spark):
+    texts = ["-" * 20, "-" * 90, "ha " * 7, "ha " * 32]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.kept) == [0, 2]
+
+
 def test_lines_of_equal_signatures_link_past_their_heads(spark, monkeypatch):
     rng = random.Random(8)
     base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(140))
