@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PRIMITIVES = ("string", "number", "boolean", "any", "void", "undefined", "null", "never", "unknown", "object", "bigint", "symbol")
+PRIMITIVES = ("string", "number", "boolean", "any", "void", "undefined", "null", "never", "unknown")
 
 
 def _col(c) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .tables import cut
 
-SAME_FAMILY, CROSS_FAMILY, AMBIGUOUS, GROUP_CAP = 0.15, 0.50, 0.45, 50
+SAME_FAMILY, CROSS_FAMILY, AMBIGUOUS, NAME_ONLY, GROUP_CAP = 0.15, 0.50, 0.45, 0.6, 50
 
 
 def last_by(df: DataFrame, key: str, ordinal: str) -> DataFrame:
@@ -48,20 +48,49 @@ def relocate(removed: DataFrame, added: DataFrame, key: str = "qualified_name",
     return first.unionByName(second)
 
 
-def fingerprint_pairs(removed: DataFrame, added: DataFrame, block: list[str], cap: int = GROUP_CAP) -> DataFrame:
-    """Candidate renames: equal block columns (null-safe), blocks of at most ``cap`` on either side.
+def fingerprint_pairs(removed: DataFrame, added: DataFrame, block: list[str], cap: int = GROUP_CAP, old_cap: int | None = GROUP_CAP, carry: tuple = ()) -> DataFrame:
+    """Candidate renames: equal block columns (null-safe), blocks of at most ``cap`` added and ``old_cap`` removed.
 
     The cap is the operator's definition, not a limit on work: larger blocks
     tell nothing about a rename.
     """
     sized = lambda d, n: d.withColumn(n, F.count("*").over(Window.partitionBy(*block)))
-    a = sized(removed, "n_old").where(F.col("n_old") <= cap).select(F.col("qualified_name").alias("old"), F.col("name").alias("old_name"), F.struct(*block).alias("b"), "n_old")
-    b = sized(added, "n_new").where(F.col("n_new") <= cap).select(F.col("qualified_name").alias("new"), F.col("name").alias("new_name"), F.struct(*block).alias("b"), "n_new")
-    return a.join(b, a["b"].eqNullSafe(b["b"])).select("old", "new", "old_name", "new_name", "n_old", "n_new")
+    more = lambda side: [F.col(c).alias(f"{side}_{c}") for c in carry]
+    few = F.lit(True) if old_cap is None else F.col("n_old") <= old_cap
+    a = sized(removed, "n_old").where(few).select(F.col("qualified_name").alias("old"), F.col("name").alias("old_name"), F.struct(*block).alias("b"), "n_old", *more("old"))
+    b = sized(added, "n_new").where(F.col("n_new") <= cap).select(F.col("qualified_name").alias("new"), F.col("name").alias("new_name"), F.struct(*block).alias("b"), "n_new", *more("new"))
+    return a.join(b, a["b"].eqNullSafe(b["b"])).select("old", "new", "old_name", "new_name", "n_old", "n_new", *[f"{side}_{c}" for side in ("old", "new") for c in carry])
 
 
 def rename_threshold(same_family: Column, ambiguous: Column) -> Column:
-    return F.when(ambiguous, AMBIGUOUS).when(same_family, SAME_FAMILY).otherwise(CROSS_FAMILY)
+    return F.when(~same_family, CROSS_FAMILY).when(ambiguous, AMBIGUOUS).otherwise(SAME_FAMILY)
+
+
+def rename_candidates(removed: DataFrame, added: DataFrame, part: str = "package") -> DataFrame:
+    """Scored candidate renames (``old``, ``new``, ``score``) of four passes within ``part``.
+
+    By kind and exact type, type with masked names, type with masked literals
+    too, and for properties of one parent by name alone. The masked passes cap
+    the added side only; other directories and groups of over two of one
+    primitive type need more similar names. A pair needs the least of its passes.
+    """
+    type_of, parent = F.col("return_type"), F.regexp_extract("qualified_name", r"(?s)^(.*)\.[^.]*$", 1)
+    with_dir = lambda d: d.withColumn("d", F.coalesce(T.directory(T.canonical_path("file")), F.lit("")))
+    removed, added = with_dir(removed), with_dir(added)
+    found = []
+    for fp, old_cap in ((type_of, GROUP_CAP), (T.mask_types(type_of), None), (T.mask_literals(type_of), None)):
+        pairs = fingerprint_pairs(removed.withColumn("fp", fp), added.withColumn("fp", fp), ["kind", part, "fp"], old_cap=old_cap, carry=("d", "fp"))
+        ambiguous = T.is_primitive_or_absent("old_fp") & ((F.col("n_old") > 2) | (F.col("n_new") > 2))
+        found.append(pairs.withColumn("least", rename_threshold(F.col("old_d") == F.col("new_d"), ambiguous)))
+    props = lambda d: d.where((F.lower("kind") == "property") & F.contains("qualified_name", F.lit("."))).withColumn("fp", parent)
+    found.append(fingerprint_pairs(props(removed), props(added), [part, "fp"]).withColumn("least", F.lit(NAME_ONLY)))
+    cols = ["old", "new", "old_name", "new_name"]
+    every = found[0].select(*cols, "least")
+    for f in found[1:]:
+        every = every.unionByName(f.select(*cols, "least"))
+    # Cut: else the similarity would be pushed down and folded once a pass.
+    once = cut(every.groupBy(*cols).agg(F.min("least").alias("least"))).withColumn("score", T.name_similarity("old_name", "new_name"))
+    return once.where("score >= least").select("old", "new", F.round("score", 6).alias("score"))
 
 
 def greedy_assignment(pairs: DataFrame, score: str = "score", old: str = "old", new: str = "new", rounds: int = 100) -> DataFrame:

@@ -84,8 +84,7 @@ def rename_lcs_score(old, new):
 
 @query("old_symbols", "new_symbols")
 def rename_greedy_match(old, new):
-    good = _scored(old, new).where(F.col("score") >= matching.rename_threshold(F.lit(True), (F.col("n_old") > 2) | (F.col("n_new") > 2)))
-    return matching.greedy_assignment(good)
+    return matching.greedy_assignment(matching.rename_candidates(*_sides(old, new)))
 
 
 @query("old_symbols", "new_symbols", oracle=_SIDES + """, pairs AS (SELECT r.qualified_name AS old, a.qualified_name AS new, r.name AS old_name, a.name AS new_name,

@@ -36,6 +36,33 @@ def test_greedy_assignment_equals_the_walk(spark):
     assert rows(matching.greedy_assignment(spark.createDataFrame(pairs, "old string, new string, score double"))) == sorted(want)
 
 
+def test_rename_passes(spark):
+    schema = "qualified_name string, name string, kind string, package string, return_type string, file string"
+    sym = lambda parent, name, kind, t, file="d/f": (f"{file}.{parent}.{name}", name, kind, "p", t, file)
+    old = [
+        sym("A", "chips", "property", "ToolbarChip[]"),
+        sym("A", "spacer", "method", "{ a: 'spacerNone' | 'spacerSm' }"),
+        sym("A", "splitButtonOptions", "property", "SplitOptions"),
+        *[sym("B", f"isOld{k}", "method", "Foo<string>") for k in "XYZ"],
+        sym("C", "header", "class", "number[]", "d/f"),
+        *[sym("D", n, "field", "boolean") for n in ("isDisabled", "qqqq", "wwww")],
+    ]
+    new = [
+        sym("A", "chipLabels", "property", "ToolbarLabel[]"),
+        sym("A", "spaces", "method", "{ b: 'gapNone' | 'gapSm' | 'gapXl' }"),
+        sym("A", "splitButtonItems", "property", "ReactNode[] | string"),
+        *[sym("B", f"hasNew{k}", "method", "Foo<string>") for k in "XYZ"],
+        sym("C", "reader", "class", "number[]", "e/f"),
+        sym("C", "hex", "class", "string[]", "e/f"),
+        sym("D", "hasAnimations", "field", "boolean"),
+    ]
+    got = matching.greedy_assignment(matching.rename_candidates(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)))
+    short = lambda q: q.rsplit(".", 1)[1]
+    assert sorted((short(r.old), short(r.new)) for r in got.collect()) == sorted(
+        [("chips", "chipLabels"), ("spacer", "spaces"), ("splitButtonOptions", "splitButtonItems"), ("header", "reader")] + [(f"isOld{k}", f"hasNew{k}") for k in "XYZ"]
+    )
+
+
 def test_token_pairs_equal_all_pairs(spark):
     old = spark.createDataFrame([("a_b_c",), ("a_b_d_e",), ("z",)], "name string")
     new = spark.createDataFrame([("a_b_x",), ("a_b_c_y",), ("z",)], "name string")
