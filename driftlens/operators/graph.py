@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, steps
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``node`` and least ``depth`` of all that ``roots`` (``node``) reach along ``src`` to ``dst``; cycles end by the visited set."""
     links = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     front = cut(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     seen = front
-    for depth in range(1, max_depth + 1):
+    for depth in steps(max_depth):
         new = front.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = cut(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():
             break
         seen = seen.unionByName(front)
+        if depth % 50 == 0:
+            seen = cut(seen)
     return seen
 
 
@@ -44,7 +46,7 @@ def closure_of_flag(parents: DataFrame, flagged: DataFrame, max_rounds: int = 64
     return state.where("flag").select("node")
 
 
-def walk_up(calls: DataFrame, changed: DataFrame, functions: DataFrame, discount: float = 0.9, max_depth: int = 1000) -> DataFrame:
+def walk_up(calls: DataFrame, changed: DataFrame, functions: DataFrame, discount: float = 0.9, max_depth: int | None = None) -> DataFrame:
     """Public callers that a private changed function breaks.
 
     ``calls``: caller, callee; ``changed``: root, confidence (private ones);
@@ -55,12 +57,14 @@ def walk_up(calls: DataFrame, changed: DataFrame, functions: DataFrame, discount
     up = cut(calls.where("caller <> callee").distinct().join(functions.withColumnRenamed("name", "caller"), "caller"))
     front = cut(changed.select("root", F.col("root").alias("at")))
     seen, found = front, None
-    for depth in range(1, max_depth + 1):
+    for depth in steps(max_depth):
         step = front.join(up, F.col("at") == F.col("callee")).select("root", F.col("caller").alias("at"), "is_public").distinct()
         step = cut(step.join(seen, ["root", "at"], "left_anti"))
         hits = step.where("is_public").select("root", F.col("at").alias("broken"), F.lit(depth).alias("depth"))
         found = hits if found is None else found.unionByName(hits)
         seen = seen.unionByName(step.select("root", "at"))
+        if depth % 50 == 0:
+            seen, found = cut(seen), cut(found)
         front = step.where("not is_public").select("root", "at")
         if not front.limit(1).count():
             break
@@ -97,7 +101,7 @@ def drop_two_way(edges: DataFrame) -> DataFrame:
     return out.withColumn("chp", F.col("chp") & ~loses).drop("two_way", "n", "m")
 
 
-def collapse_internal(edges: DataFrame, exported: DataFrame, max_depth: int = 50) -> DataFrame:
+def collapse_internal(edges: DataFrame, exported: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Edges between exported nodes, paths through internal ones folded to one.
 
     Along a path a wrapper hop (``pmc`` only) passes the other's strength on,
@@ -108,13 +112,13 @@ def collapse_internal(edges: DataFrame, exported: DataFrame, max_depth: int = 50
     marked = cut(flag(flag(edges.select("family", "parent", "child", "chp", "pmc"), "parent"), "child"))
     done = marked.where("parent_out and child_out").select("family", "parent", "child", "chp", "pmc")
     front = cut(marked.where("parent_out and child_out is null").select("family", "parent", "child", "chp", "pmc"))
-    hops = marked.where("parent_out is null").select("family", F.col("parent").alias("mid"), F.col("child").alias("next"), F.col("chp").alias("c2"), F.col("pmc").alias("p2"), "child_out")
+    hops = marked.where("parent_out is null").select(F.col("family").alias("in_family"), F.col("parent").alias("mid"), F.col("child").alias("next"), F.col("chp").alias("c2"), F.col("pmc").alias("p2"), "child_out")
     wrapper, allowed = (lambda c, p: ~c & p), (lambda c, p: ~c & ~p)
     seen = front.select("family", "parent", "child")
-    for _ in range(max_depth):
+    for depth in steps(max_depth):
         if not front.limit(1).count():
             break
-        step = front.join(hops, (front["family"] == hops["family"]) & (front["child"] == hops["mid"])).drop(hops["family"])
+        step = front.join(hops, (F.col("family") == F.col("in_family")) & (F.col("child") == F.col("mid")))
         a, b, c, d = F.col("chp"), F.col("pmc"), F.col("c2"), F.col("p2")
         none = allowed(a, b) | allowed(c, d)
         chp = F.when(none, False).when(wrapper(a, b), c).when(wrapper(c, d), a).otherwise(a & c)
@@ -123,6 +127,8 @@ def collapse_internal(edges: DataFrame, exported: DataFrame, max_depth: int = 50
         done = done.unionByName(step.where("child_out and parent <> child").drop("child_out"))
         front = cut(step.where("child_out is null").drop("child_out").join(seen, ["family", "parent", "child"], "left_anti"))
         seen = seen.unionByName(front.select("family", "parent", "child"))
+        if depth % 50 == 0:
+            seen, done = cut(seen), cut(done)
     return done.groupBy("family", "parent", "child").agg(F.bool_or("chp").alias("chp"), F.bool_or("pmc").alias("pmc"))
 
 
@@ -143,16 +149,18 @@ def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change is not null").select("family", "parent", "child", "change")
 
 
-def levels(deps: DataFrame, nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
+def levels(deps: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Build order: ``node`` and the round in which all it needs (``node`` needs ``dep``) are built; nodes on cycles get none."""
     left, done = cut(nodes.select("node").distinct()), None
     needs = cut(deps.where("node <> dep").join(nodes.select(F.col("node").alias("dep")), "dep", "left_semi"))
-    for level in range(max_depth):
+    for step in steps(max_depth):
         open_deps = needs.join(left.select(F.col("node").alias("dep")), "dep", "left_semi").select("node").distinct()
-        ready = cut(left.join(open_deps, "node", "left_anti").withColumn("level", F.lit(level)))
+        ready = cut(left.join(open_deps, "node", "left_anti").withColumn("level", F.lit(step - 1)))
         if not ready.limit(1).count():
             break
         done = ready if done is None else done.unionByName(ready)
+        if step % 50 == 0:
+            done = cut(done)
         left = cut(left.join(ready, "node", "left_anti"))
     return done if done is not None else left.withColumn("level", F.lit(0))
 

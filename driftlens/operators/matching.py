@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .tables import cut
+from .tables import cut, steps
 
 SAME_FAMILY, CROSS_FAMILY, AMBIGUOUS, NAME_ONLY, GROUP_CAP = 0.15, 0.50, 0.45, 0.6, 50
 
@@ -93,7 +93,7 @@ def rename_candidates(removed: DataFrame, added: DataFrame, part: str = "package
     return once.where("score >= least").select("old", "new", F.round("score", 6).alias("score"))
 
 
-def greedy_assignment(pairs: DataFrame, score: str = "score", old: str = "old", new: str = "new", rounds: int = 100) -> DataFrame:
+def greedy_assignment(pairs: DataFrame, score: str = "score", old: str = "old", new: str = "new", rounds: int | None = None) -> DataFrame:
     """One-to-one pairs as by walking candidates from the best: score down, then old, then new.
 
     Every round takes all pairs that are best on both sides and drops their
@@ -101,7 +101,7 @@ def greedy_assignment(pairs: DataFrame, score: str = "score", old: str = "old",
     """
     left, taken = cut(pairs.select(old, new, score)), None
     order = [F.desc(score), F.col(old), F.col(new)]
-    for _ in range(rounds):
+    for step in steps(rounds):
         if not left.limit(1).count():
             break
         ranked = left.withColumn("i", F.row_number().over(Window.partitionBy(old).orderBy(*order))).withColumn(
@@ -109,6 +109,8 @@ def greedy_assignment(pairs: DataFrame, score: str = "score", old: str = "old",
         )
         best = cut(ranked.where("i = 1 and j = 1").select(old, new, score))
         taken = best if taken is None else taken.unionByName(best)
+        if step % 50 == 0:
+            taken = cut(taken)
         left = cut(left.join(best.select(old), old, "left_anti").join(best.select(new), new, "left_anti"))
     return taken if taken is not None else pairs.select(old, new, score).limit(0)
 

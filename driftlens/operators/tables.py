@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -14,3 +16,11 @@ def cut(df: DataFrame) -> DataFrame:
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftlens-")
         sc.setCheckpointDir(where)
     return df.checkpoint()
+
+
+def steps(most: int | None) -> Iterator[int]:
+    """1, 2, ... without end; an error where a loop would go on past ``most``, so that it never returns a part as the whole."""
+    for k in itertools.count(1):
+        if most is not None and k > most:
+            raise RuntimeError(f"not finished after {most} rounds")
+        yield k

@@ -101,6 +101,27 @@ def test_reachable_on_a_cycle(spark):
     assert rows(graph.reachable(edges, spark.createDataFrame([(1,)], "node long"))) == [(1, 0), (2, 1), (3, 2)]
 
 
+def test_loops_never_return_a_part(spark):
+    chain = [(i, i + 1) for i in range(6)]
+    edges, one = spark.createDataFrame(chain, "src long, dst long"), spark.createDataFrame([(0,)], "node long")
+    calls = spark.createDataFrame([(str(b), str(a)) for a, b in chain], "caller string, callee string")
+    functions = spark.createDataFrame([(str(i), i == 6) for i in range(7)], "name string, is_public boolean")
+    changed = spark.createDataFrame([("0", 1.0)], "root string, confidence double")
+    ties = spark.createDataFrame([(f"o{i}", f"n{j}", 1.0) for i in range(5) for j in (i - 1, i) if j >= 0], "old string, new string, score double")
+    inner = spark.createDataFrame([("f", str(a), str(b), True, True) for a, b in chain], "family string, parent string, child string, chp boolean, pmc boolean")
+    ends = spark.createDataFrame([("f", "0"), ("f", "6")], "family string, node string")
+    for part in (
+        lambda: graph.reachable(edges, one, max_depth=3),
+        lambda: graph.walk_up(calls, changed, functions, max_depth=3),
+        lambda: graph.collapse_internal(inner, ends, max_depth=3),
+        lambda: matching.greedy_assignment(ties, rounds=2),
+    ):
+        with pytest.raises(RuntimeError, match="not finished"):
+            part()
+    assert len(rows(graph.reachable(edges, one))) == 7
+    assert len(rows(matching.greedy_assignment(ties))) == 5
+
+
 def test_closure(spark):
     parents = spark.createDataFrame([(i, i - 1) for i in range(2, 12)] + [(21, 20), (20, 21)], "child long, parent long")
     assert rows(graph.closure_of_flag(parents, spark.createDataFrame([(5,)], "node long"))) == [(i,) for i in range(5, 12)]
