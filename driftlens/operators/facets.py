@@ -109,7 +109,7 @@ def assertion_lines(diffs: DataFrame, pattern: str) -> DataFrame:
     lines = diffs.select("file", F.posexplode(F.split("diff", "\n")).alias("n", "line"))
     sign = F.substring("line", 1, 1)
     kept = lines.where(sign.isin("+", "-") & ~F.col("line").rlike(r"^(\+\+\+|---)") & F.col("line").rlike(pattern))
-    return kept.select("file", "n", F.when(sign == "+", "added").otherwise("removed").alias("change"), F.trim(F.substring("line", 2, 1 << 20)).alias("line"))
+    return kept.select("file", "n", F.when(sign == "+", "added").otherwise("removed").alias("change"), F.trim(F.expr("substring(line, 2)")).alias("line"))
 
 
 def spec_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -122,6 +122,12 @@ def test_loops_never_return_a_part(spark):
     assert len(rows(matching.greedy_assignment(ties))) == 5
 
 
+def test_assertion_lines_are_whole(spark):
+    long = "expect(" + "x" * (1 << 20) + ")"
+    diffs = spark.createDataFrame([("f", f"+{long}\n-{long}")], "file string, diff string")
+    assert [r.line == long for r in facets.assertion_lines(diffs, "expect").collect()] == [True, True]
+
+
 def test_closure(spark):
     parents = spark.createDataFrame([(i, i - 1) for i in range(2, 12)] + [(21, 20), (20, 21)], "child long, parent long")
     assert rows(graph.closure_of_flag(parents, spark.createDataFrame([(5,)], "node long"))) == [(i,) for i in range(5, 12)]
