@@ -8,19 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bitmap_filter, joined, release, salted, written
-
-#: Characters to a shingle, least Jaccard similarity, bands and rows of the signature.
-SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 8, 3
+from .shared import bitmap_filter, release, spread, written
+
+#: Characters to a shingle and least Jaccard similarity.
+SHINGLE, SIMILARITY = 8, 0.8
+#: Minima of a signature, and the threes of them that form its bands: no two minima are together twice.
+MINIMA = 12
+BANDS = [(1, 5, 10), (2, 4, 6), (3, 7, 11), (0, 8, 9), (4, 8, 10), (3, 5, 9), (0, 2, 7), (1, 6, 11), (2, 5, 11), (1, 7, 8), (6, 9, 10), (0, 3, 4)]
+#: Minima in common that a pair needs to be verified, and those that let it be verified first.
+AGREE, LIKELY = 5, 10
 #: Distinct lines in a bucket beyond which further minima split it.
 BUCKET = 256
 _draw = random.Random(1905)
-#: Orders of 31-bit shingle hashes by their products with odd 31-bit factors modulo 2**32; no product overflows.
-_FACTORS = [_draw.randrange(1 << 30, 1 << 31) | 1 for _ in range(BANDS * ROWS)]
-
-
-#: MD5 of a blank line.
-_BLANK = "unhex('d41d8cd98f00b204e9800998ecf8427e')"
+#: An order of 32-bit hashes each: by their distance, bit by bit from the highest, to a random point.
+_POINTS = [_draw.getrandbits(31) for _ in range(MINIMA // 2)]
 
 
 def normal_line(line: Column) -> Column:
@@ -38,10 +39,10 @@ def line_rows(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != text_col], F.posexplode(lines).alias("line_no", "line"))
 
 
-def _shingles(wide: Column) -> Column:
-    """Distinct hashes of the character shingles of a line in UTF-16; a shorter line is its own shingle."""
-    last = F.greatest(F.octet_length(wide) - (2 * SHINGLE - 1), F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last, F.lit(2)), lambda i: F.xxhash64(F.substring(wide, i, F.lit(2 * SHINGLE)))))
+def _shingles(line: Column) -> Column:
+    """The character shingles of a line, with repeats; a shorter line is its own shingle."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.when(F.length(line) >= SHINGLE, found).otherwise(F.array(line))
 
 
 def _once(value: Column, use) -> Column:
@@ -51,59 +52,75 @@ def _once(value: Column, use) -> Column:
 
 def jaccard(x: Column, y: Column) -> Column:
     """Jaccard similarity of the shingle sets of two lines."""
-    sets = [_once(F.encode(c, "UTF-16BE"), _shingles) for c in (x, y)]
-    shared = lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("n"), (F.size(p["a"]) + F.size(p["b"])).alias("all"))
-    return _once(_once(F.struct(sets[0].alias("a"), sets[1].alias("b")), shared), lambda c: c["n"] / (c["all"] - c["n"]))
+    sets = F.struct(_shingles(x).alias("a"), _shingles(y).alias("b"))
+    sizes = lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("n"), F.size(F.array_union(p["a"], p["b"])).alias("all"))
+    return _once(_once(sets, sizes), lambda c: c["n"] / c["all"])
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """MinHash minima ``m0``, ``m1``, ... of ``line`` by ``digest``, for rows already partitioned by digest.
+    """MinHash minima ``m0``, ``m1``, ... of ``line`` by long ``row``.
 
     Each shingle is a row of one codegen stage: hashed once, then folded to
-    all minima by a hash aggregate that needs no further exchange. All
-    shingles of a line sign it, whatever its length.
+    all minima by a hash aggregate before the exchange. All shingles of a line
+    sign it, whatever its length. The hash nearest to a random point, and the
+    farthest, in the order of their differing bits is each any shingle of the
+    line with equal chance.
     """
     # Two bytes a character: a shingle is then a slice, whatever stands before it.
-    rows = lines.select("digest", F.encode("line", "UTF-16BE").alias("w"))
+    rows = lines.select("row", F.encode("line", "UTF-16BE").alias("w"))
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.octet_length("w") - (2 * SHINGLE - 1), F.lit(1)), F.lit(2)))
-    h = F.xxhash64(F.substring(F.col("w"), F.col("i"), F.lit(2 * SHINGLE)))
-    each = rows.select("digest", "w", at.alias("i")).select("digest", h.bitwiseAND(F.lit((1 << 31) - 1)).alias("h"))
-    minima = [
-        F.min(F.shiftright((F.col("h") * F.lit(a)).bitwiseAND(F.lit((1 << 32) - 1)), 1)).alias(f"m{k}") for k, a in enumerate(_FACTORS)
-    ]
-    return each.groupBy("digest").agg(*minima)
+    h = F.hash(F.substring(F.col("w"), F.col("i"), F.lit(2 * SHINGLE)))
+    each = rows.select("row", "w", at.alias("i")).select("row", h.alias("h")).withColumn("g", F.hash("h"))
+    apart = [F.col("hg"[k % 2]).bitwiseXOR(F.lit(p)) for k, p in enumerate(_POINTS)]
+    return each.groupBy("row").agg(*[(F.min if k % 2 else F.max)(apart[k // 2]).alias(f"m{k}") for k in range(MINIMA)])
+
+
+def _agreement(p: Column, q: Column) -> Column:
+    """In how many of their five-bit parts two packed signatures agree."""
+    x = p.bitwiseXOR(q)
+    folded = x
+    for k in range(1, 5):
+        folded = folded.bitwiseOR(F.shiftrightunsigned(x, k))
+    return MINIMA - F.bit_count(folded.bitwiseAND(F.lit(sum(1 << 5 * k for k in range(MINIMA)))))
+
+
+def _packed(minima: Column) -> Column:
+    """The lowest five bits of each minimum in one long."""
+    low = lambda k: F.shiftleft(F.element_at(minima, k + 1).cast("long").bitwiseAND(F.lit(31)), 5 * k)
+    out = low(0)
+    for k in range(1, MINIMA):
+        out = out.bitwiseOR(low(k))
+    return out
 
 
 def _pairs(banded: DataFrame, level: int = 0) -> DataFrame:
-    """Candidate pairs ``a`` < ``b`` of rows (key, cid, minima) that share a key; large buckets are split by more minima."""
+    """Candidate pairs ``a`` < ``b`` of rows (key, cid, minima) that share a key; large buckets are split by more minima.
+
+    Lines of one bucket differ in some minimum, so splitting ends. What is
+    left after as many levels as there are minima is of lines that share all
+    but a few: each is paired with the first, for ``_crossing`` to go on from.
+    """
     seen = written(
         banded.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.count("*").alias("n")).where("n > 1"), "buckets"
     )
     twos = seen.where("n = 2").select("a", "b").where("a <> b")
-    more = seen.where("n > 2").select("key", "n")
+    more = seen.where("n > 2").select("key", "n", "a")
     if not more.limit(1).count():
         return twos
     members = bitmap_filter(banded, "key", more.select("key"), "may").where("may").drop("may")
-    members = written(salted(members, more, ["key"], "inner"), "members")
-    few = members.where(F.col("n") <= BUCKET).select("key", "cid")
+    members = written(members.join(more, "key"), "members")
+    out = twos.unionByName(_within(members.where(F.col("n") <= BUCKET).select("key", "cid")))
     many = members.where(F.col("n") > BUCKET)
-    out = twos.unionByName(_within(few))
-    if many.limit(1).count():
-        if level < 3:
-            # Two further minima, in as many ways as there are bands: a pair at 0.8 misses all with chance 0.0003.
-            step = 2 + level
-            ways = F.explode(
-                F.array(
-                    *[
-                        F.xxhash64("key", F.lit(j), F.element_at("minima", 1 + (ROWS * j + level) % len(_FACTORS)), F.element_at("minima", 1 + (ROWS * j + step + ROWS * level) % len(_FACTORS)))
-                        for j in range(BANDS)
-                    ]
-                )
-            )
-            out = out.unionByName(_pairs(many.select(ways.alias("key"), "cid", "minima"), level + 1))
-        else:
-            out = out.unionByName(_within(many.select("key", "cid")))
-    return out
+    if not many.limit(1).count():
+        return out
+    if level >= MINIMA:
+        return out.unionByName(many.where("cid <> a").select("a", F.col("cid").alias("b")))
+    # Each minimum with one other, in as many ways as there are minima: a pair at 0.8 misses all with a chance of 0.0001.
+    ways = [
+        F.xxhash64("key", F.lit(k), F.element_at("minima", k + 1), F.element_at("minima", (k + 1 + level % (MINIMA - 1)) % MINIMA + 1))
+        for k in range(MINIMA)
+    ]
+    return out.unionByName(_pairs(many.select(F.explode(F.array(*ways)).alias("key"), "cid", "minima").distinct(), level + 1))
 
 
 def _within(members: DataFrame, salts: int = 4) -> DataFrame:
@@ -117,9 +134,9 @@ def _crossing(judged: DataFrame, comps: DataFrame, similarity: float = SIMILARIT
     """Pairs ``a``, ``b`` of lines that only their heads stood for: candidates that are not judged yet nor of one component.
 
     ``judged``: ``a``, ``b``, ``star`` (``b`` has the signature of head ``a``;
-    else both are heads) and distance ``d``; ``comps``: ``id``, ``component``.
-    Distance 1 - Jaccard is a metric: pairs that the distances by way of their
-    heads put too far apart are left out.
+    else both are heads) and distance ``d``, null where it wasn't taken;
+    ``comps``: ``id``, ``component``. Distance 1 - Jaccard is a metric: pairs
+    that the distances by way of their heads put too far apart are left out.
     """
     far = 1 - similarity + 1e-9
     stars = judged.where("star").select(F.col("a").alias("head"), F.col("b").alias("cid"), "d")
@@ -132,23 +149,44 @@ def _crossing(judged: DataFrame, comps: DataFrame, similarity: float = SIMILARIT
     groups = judged.where("not star").select("a", "b", "d").unionByName(spans.where("n > 1").select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(0.0).alias("d")))
     of = ["low", "high", "most", "n"]
     groups = groups.join(side(spans, "a", of), "a").join(side(spans, "b", of), "b").where("n_a > 1 or n_b > 1")
-    groups = groups.where(F.least("low_a", "low_b") < F.greatest("high_a", "high_b")).where(F.col("d") - F.col("most_a") - F.col("most_b") <= far)
+    groups = groups.where(F.least("low_a", "low_b") < F.greatest("high_a", "high_b"))
+    groups = groups.where(F.coalesce(F.col("d") - F.col("most_a") - F.col("most_b"), F.lit(0.0)) <= far)
     both = groups.select("a", "b", "d").join(side(members, "a", ["cid", "c", "d"]), "a").join(side(members, "b", ["cid", "c", "d"]), "b")
-    apart = F.greatest(F.col("d") - F.col("d_a") - F.col("d_b"), F.col("d_a") - F.col("d_b") - F.col("d"), F.col("d_b") - F.col("d_a") - F.col("d"))
+    # The greatest passes over nulls.
+    apart = F.greatest(F.col("d") - F.col("d_a") - F.col("d_b"), F.col("d_a") - F.col("d_b") - F.col("d"), F.col("d_b") - F.col("d_a") - F.col("d"), F.lit(0.0))
     new = F.when(F.col("a") == F.col("b"), (F.col("cid_a") < F.col("cid_b")) & (F.col("cid_a") != F.col("a"))).otherwise((F.col("cid_a") != F.col("a")) | (F.col("cid_b") != F.col("b")))
     return both.where("c_a <> c_b").where(new & (apart <= far)).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
 
 
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Add ``far``: whether ``a`` and ``b`` are of different components."""
+    of = lambda at: comps.select(F.col("id").alias(at), F.col("component").alias(f"c_{at}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.withColumn("far", F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (``id``, ``component``) after further links: union-find over the components only."""
+    of = lambda at: comps.select(F.col("id").alias(at), F.col("component").alias(f"c_{at}"))
+    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    roots = connected_components(both.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
+    moved = comps.join(roots.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    lone = roots.join(comps, "id", "left_anti")
+    return written(moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(lone.select("id", "component")), "components")
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link lines whose character shingles have a Jaccard similarity of 0.8 or more; keep one of each component.
 
     Lines are cut at newlines and compared in lower case with runs of white
-    space as one blank; equal ones are folded first. ``BANDS`` bands of
-    ``ROWS`` minima make candidates of a pair at 0.8 with a chance of 0.997; a
-    bucket over ``BUCKET`` distinct lines is split by further minima, in
-    several ways. Every candidate is verified by exact Jaccard. Of lines with
-    all minima in common one goes to the bands; the others' pairs are compared
-    then where their components are still apart.
+    space as one blank; equal ones are folded first. Twelve bands of three of
+    the ``MINIMA`` minima make candidates of a pair at 0.8 with a chance of
+    0.993, those of fewer than ``AGREE`` equal minima left out; a bucket over
+    ``BUCKET`` distinct lines is split by further minima, in several ways.
+    Candidates are verified by exact Jaccard, the likely ones first; those that
+    the links found so far join anyway needn't be. Of lines with all minima in
+    common one goes to the bands; the others' pairs are compared then where
+    their components are still apart.
 
     Returns a row per line: ``id_col``, ``line_no``, ``class_row`` (the line
     that its class keeps: the first by row of the table and line number),
@@ -158,53 +196,61 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     source = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     exploded = line_rows(source, "text").select("id", "line_no", normal_line(F.col("line")).alias("line"))
-    keyed = exploded.withColumn("digest", F.unhex(F.md5(F.encode("line", "UTF-8"))))
-    lines = written(keyed.select("id", "line_no", "digest", F.monotonically_increasing_id().alias("row")), "lines")
-    ids = written(lines.where(f"digest <> {_BLANK}").groupBy("digest").agg(F.min("row").alias("cid")), "distinct")
-    # Filtered by the aggregated line: a filter by digest would be pushed down and hash every line twice.
-    distinct = keyed.groupBy("digest").agg(F.first("line").alias("line")).where("line <> ''")
-    minima = [f"m{k}" for k in range(BANDS * ROWS)]
-    signed = signatures(distinct).join(ids, "digest")
-    narrow = F.array(*[F.col(m).cast("int") for m in minima])
-    signed = written(signed.select("cid", narrow.alias("minima")), "signatures")
-    keys = F.explode(
-        F.array(*[F.xxhash64(F.lit(b), *[F.element_at("minima", b * ROWS + r + 1) for r in range(ROWS)]) for b in range(BANDS)])
-    )
+    keyed = exploded.withColumn("digest", F.when(F.col("line") != "", F.unhex(F.md5(F.encode("line", "UTF-8")))))
+    lines = written(keyed.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("row")), "lines")
+    ids = written(lines.where("digest is not null").groupBy("digest").agg(F.min("row").alias("cid"), F.count("*").alias("n")), "distinct")
+    # A few rows besides pass the filter; they are the same lines again and drop out when texts are joined.
+    distinct = bitmap_filter(lines.where("digest is not null").select("row", "line", "h"), "h", ids.select(F.xxhash64("cid").alias("h")), "may").where("may")
+    narrow = F.array(*[F.col(f"m{k}").cast("int") for k in range(MINIMA)])
+    signed = signatures(distinct).select(F.col("row").alias("cid"), narrow.alias("minima"))
+    signed = written(signed.withColumn("sig", F.xxhash64("minima")).withColumn("p", _packed(F.col("minima"))), "signatures")
     # Lines of one signature are near each other all but surely: a star stands for them, whatever their number.
-    heads = written(signed.groupBy("minima").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")), "heads")
-    stars = salted(signed, heads.where("last > cid").select("minima", F.col("cid").alias("a")), ["minima"], "inner").where("a <> cid")
-    met = _pairs(heads.select(keys.alias("key"), "cid", "minima")).distinct().withColumn("star", F.lit(False))
-    pairs = written(met.unionByName(stars.select("a", F.col("cid").alias("b"), F.lit(True).alias("star"))), "pairs")
-    release(signed, heads)
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(ids, "cid")
-    wanted = written(wanted.withColumn("h", F.xxhash64("digest")), "wanted")
-    some = bitmap_filter(keyed.withColumn("h", F.xxhash64("digest")), "h", wanted.select("h"), "may").where("may")
-    texts = some.groupBy("digest").agg(F.first("line").alias("line"))
-    texts = written(texts.join(wanted, "digest").select("cid", "line"), "texts")
-
-    def both(pairs: DataFrame) -> DataFrame:
-        left = joined(pairs, texts.select(F.col("cid").alias("a"), F.col("line").alias("x")), ["a"], 1024, "inner")
-        return joined(left, texts.select(F.col("cid").alias("b"), F.col("line").alias("y")), ["b"], 1024, "inner")
-
-    judged = written(both(pairs).select("a", "b", "star", (1 - jaccard(F.col("x"), F.col("y"))).alias("d")), "judged")
-    links = judged.where(F.col("d") <= 1 - SIMILARITY + 1e-9).select("a", "b")
-    comps = written(connected_components(links), "components")
-    if judged.where("star").limit(1).count():
+    shared = written(signed.groupBy("sig").agg(F.min("cid").alias("a"), F.count("*").alias("n")).where("n > 1").select("sig", "a"), "shared")
+    marked = written(spread(signed.select("sig", "cid"), shared, ["sig"], "inner").where("a <> cid").select("a", F.col("cid").alias("b")), "stars")
+    heads = written(signed.join(marked.select(F.col("b").alias("cid")), "cid", "left_anti"), "heads")
+    release(signed)
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.element_at("minima", k + 1) for k in band]) for b, band in enumerate(BANDS)]))
+    met = _pairs(heads.select(keys.alias("key"), "cid", "minima")).distinct()
+    of = lambda at: heads.select(F.col("cid").alias(at), F.col("p").alias(f"p_{at}"))
+    met = met.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.lit(False).alias("star"), _agreement(F.col("p_a"), F.col("p_b")).alias("agree"))
+    pairs = written(met.where(F.col("agree") >= AGREE).unionByName(marked.select("a", "b", F.lit(True).alias("star"), F.lit(MINIMA).alias("agree"))), "pairs")
+    release(heads, shared, marked)
+    wanted = written(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(ids.select("cid"), "cid"), "wanted")
+    some = bitmap_filter(lines.select(F.col("row").alias("cid"), "line", "h"), "h", wanted.select(F.xxhash64("cid").alias("h")), "may").where("may")
+    texts = written(some.select("cid", "line").join(wanted, "cid"), "texts")
+    release(wanted)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """A written table of pairs with their distance ``d``."""
+        text = lambda at, name: texts.select(F.col("cid").alias(at), F.col("line").alias(name))
+        # Only a star's head may have very many pairs; a line is a member of one star.
+        both = spread(pairs, text("a", "x"), ["a"], "inner").join(text("b", "y"), "b")
+        return written(both.select(*pairs.columns, (1 - jaccard(F.col("x"), F.col("y"))).alias("d")), "judged")
+
+    near = F.col("d") <= 1 - SIMILARITY + 1e-9
+    first = verified(pairs.where(F.col("agree") >= LIKELY))
+    comps = written(connected_components(first.where(near).select("a", "b")), "components")
+    rest = written(_apart(pairs.where(F.col("agree") < LIKELY), comps), "rest")
+    second = verified(rest.where("far").drop("far"))
+    comps = _merged(comps, second.where(near).select("a", "b"))
+    none = F.lit(None).cast("double").alias("d")
+    if pairs.where("star").limit(1).count():
+        judged = first.unionByName(second).unionByName(rest.where("not far").drop("far").withColumn("d", none)).select("a", "b", "star", "d")
         more = written(_crossing(judged, comps), "crossing")
         if more.limit(1).count():
-            found = both(more).where(jaccard(F.col("x"), F.col("y")) >= SIMILARITY - 1e-9).select("a", "b")
-            hung = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
-            comps = written(connected_components(hung.unionByName(found)), "components")
-    release(texts)
-    of = joined(ids, comps.withColumnRenamed("id", "cid"), ["cid"], 24).select("digest", F.coalesce("component", "cid").alias("component"))
-    classed = written(salted(lines, of, ["digest"]).withColumn("component", F.coalesce("component", "row")).drop("digest"), "classed")
-    sizes = classed.groupBy("component").agg(F.count("*").alias("n"))
-    return salted(classed, sizes, ["component"]).select(
+            comps = _merged(comps, verified(more).where(near).select("a", "b"))
+        release(more)
+    release(texts, first, second, rest, pairs)
+    classed = written(ids.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("digest", "n", F.coalesce("component", "cid").alias("component")), "classed")
+    sizes = classed.groupBy("component").agg(F.sum("n").alias("size"))
+    sized = classed.where("n > 1").select("component", "digest").unionByName(comps.join(ids, ids["cid"] == comps["id"]).select("component", "digest")).distinct()
+    sized = sized.join(sizes, "component")
+    return spread(lines.select("id", "line_no", "row", "digest"), sized, ["digest"]).select(
         F.col("id").alias(id_col),
         "line_no",
-        F.col("component").alias("class_row"),
-        F.col("n").alias("class_size"),
-        (F.col("component") == F.col("row")).alias("kept"),
+        F.coalesce("component", "row").alias("class_row"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("class_size"),
+        (F.coalesce("component", "row") == F.col("row")).alias("kept"),
     )
 
 

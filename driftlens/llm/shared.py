@@ -85,6 +85,30 @@ def salted(big: DataFrame, side: DataFrame, on: list[str], how: str = "left", sa
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
+#: Rows of one join key that a task takes; ``spread`` splits keys with more.
+KEY_ROWS = 50_000
+
+
+def spread(big: DataFrame, side: DataFrame, on: list[str], how: str = "left", per: int = 0) -> DataFrame:
+    """Join ``big``, a written table, to at most one row per key; keys of over ``per`` rows go to as many tasks as they need.
+
+    Only such keys are copied on the side, at most one more copy per ``per``
+    rows of ``big``. Rows without a key don't move.
+    """
+    per = per or KEY_ROWS
+    none = " or ".join(f"`{c}` is null" for c in on)
+    hot = big.where(f"not ({none})").groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > per)
+    hot = small(written(hot.select(*on, F.ceil(F.col("__n") / per).cast("int").alias("__ways")), "hot"), 64)
+    ways = F.coalesce("__ways", F.lit(1))
+    left = big.where(f"not ({none})").join(hot, on, "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), ways).cast("int")).drop("__ways")
+    right = side.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("__ways")
+    out = left.join(right, [*on, "__salt"], how).drop("__salt")
+    if how != "left":
+        return out
+    more = [F.lit(None).cast(side.schema[c].dataType).alias(c) for c in side.columns if c not in on]
+    return out.unionByName(big.where(none).select(*big.columns, *more))
+
+
 def joined(big: DataFrame, side: DataFrame, on: list[str], row_bytes: int, how: str = "left") -> DataFrame:
     """Join one row per key: broadcast if its counted size allows it, else salted."""
     hinted = small(side, row_bytes)
