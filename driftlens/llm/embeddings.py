@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import release, salted, written
+from .shared import release, small, spread, written
 
 #: Chance that a pair right at the threshold shares no filter.
 MISS = 0.0001
-#: Vectors of a filter that one task compares with as many others.
-BLOCK = 4096
+#: Vectors of a group of filters that one task compares with as many others, and bytes that a task or batch takes.
+BLOCK, TASK_BYTES, BATCH_BYTES = 4096, 32 << 20, 4 << 20
 
 
 class ProductCode:
@@ -90,26 +90,35 @@ def unit(values) -> np.ndarray | None:
     return x / math.sqrt(float(x @ x))
 
 
+def group_width(words: int, n: int, per_vector: float = 40.0) -> int:
+    """Second codewords to a group of filters of one first codeword, so that a group has about ``BLOCK`` vectors or all of them."""
+    return max(1, min(words, int(BLOCK * words * words / max(1.0, n * per_vector))))
+
+
 def _decode(dim: int, n: int, similarity: float):
+    """Rows of a vector for each group of filters that it has a filter in: the vector travels once a group, not once a filter."""
     code = ProductCode(dim, n, similarity)
+    width = group_width(code.words, n)
+    step = max(1, BATCH_BYTES // (40 * (8 * dim + 200)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                b = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, step):
+                b = batch.slice(at, step)
                 raw = b.column("unit").to_pylist()
-                filters = code.decode(np.frombuffer(b"".join(raw)).reshape(len(raw), dim))
-                sizes = np.array([len(f) for f in filters])
-                rows = np.repeat(np.arange(len(raw)), sizes)
+                filters = [np.sort(f).astype(np.int32) for f in code.decode(np.frombuffer(b"".join(raw)).reshape(len(raw), dim))]
+                groups = [np.unique(f // code.words * code.words + f % code.words // width) for f in filters]
+                rows = pa.array(np.repeat(np.arange(len(raw)), [len(g) for g in groups]))
+                lists = pa.array([f.tobytes() for f in filters], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(filters).astype(np.int64)), b.column("cid").take(pa.array(rows)), b.column("weight").take(pa.array(rows)), b.column("unit").take(pa.array(rows)), pa.array([f.astype(np.int32).tobytes() for f in filters], pa.binary()).take(pa.array(rows))],
-                    ["filter", "cid", "weight", "unit", "filters"],
+                    [pa.array(np.concatenate(groups).astype(np.int64)), *[b.column(c).take(rows) for c in ("cid", "weight", "unit")], lists.take(rows)],
+                    ["filters_of", "cid", "weight", "unit", "filters"],
                 )
 
-    return run
+    return run, code.words, width
 
 
-def _compare(similarity: float):
+def _compare(similarity: float, plans: dict[int, tuple[int, int]]):
     def group(name: int, two: bool, x, cid, weight, block, lists):
         """Verified pairs of a filter (or of two of its blocks) that share no smaller filter: counts, spanning forest."""
         count, tree, parent = np.zeros(len(x), np.int64), [], list(range(len(x)))
@@ -161,19 +170,30 @@ def _compare(similarity: float):
         if not got:
             return
         t = pa.Table.from_batches(got)
-        dim, name, i, j, cid, weight, block = (t.column(c).to_numpy() for c in ("dim", "filter", "i", "j", "cid", "weight", "block"))
+        dim, name, i, j, cid, weight, block = (t.column(c).to_numpy() for c in ("dim", "filters_of", "i", "j", "cid", "weight", "block"))
         order = np.lexsort((cid, j, i, name, dim))
         new = np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in (dim, name, i, j)], axis=0), True]
-        units, lists = t.column("unit").to_pylist(), t.column("filters").to_pylist()
+        units, lists = t.column("unit"), t.column("filters")
         ends, a, b, links = np.flatnonzero(new), [], [], []
         for lo, hi in zip(ends[:-1], ends[1:]):
             o = order[lo:hi]
-            x = np.frombuffer(b"".join(units[k] for k in o)).reshape(len(o), -1)
-            own = [np.frombuffer(lists[k], np.int32) for k in o]
-            some, counts, tree = group(name[o[0]], i[o[0]] != j[o[0]], x, cid[o], weight[o], block[o], own)
-            a += [*some.tolist(), *(p for p, _ in tree)]
-            b += [*[None] * len(some), *(q for _, q in tree)]
-            links += [*counts.tolist(), *[None] * len(tree)]
+            x = np.frombuffer(b"".join(units[int(k)].as_py() for k in o)).reshape(len(o), -1)
+            own = [np.frombuffer(lists[int(k)].as_py(), np.int32) for k in o]
+            words, width = plans[int(dim[o[0]])]
+            # The filters of this group, and the vectors in each.
+            flat, of = np.concatenate(own), np.repeat(np.arange(len(o)), [len(v) for v in own])
+            here = flat // words * words + flat % words // width == name[o[0]]
+            flat, of = flat[here], of[here]
+            by = np.argsort(flat, kind="stable")
+            starts = np.flatnonzero(np.r_[True, flat[by][1:] != flat[by][:-1], True])
+            for u, v in zip(starts[:-1], starts[1:]):
+                if v - u > 1:
+                    m = of[by[u:v]]
+                    k = o[m]
+                    some, counts, tree = group(int(flat[by[u]]), i[o[0]] != j[o[0]], x[m], cid[k], weight[k], block[k], [own[q] for q in m])
+                    a += [*some.tolist(), *(p for p, _ in tree)]
+                    b += [*[None] * len(some), *(q for _, q in tree)]
+                    links += [*counts.tolist(), *[None] * len(tree)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, links)], ["a", "b", "links"])
 
     return run
@@ -183,15 +203,16 @@ def near_embeddings(df: DataFrame, similarity: float = 0.95, id_col: str = "vec_
     """Link vectors of cosine ``similarity`` or more, in double precision, whatever their labels.
 
     Equal directions are folded into weighted classes first. Each class is
-    decoded to every filter whose cap it lies in and joined on filters; pairs
+    decoded to every filter whose cap it lies in, and joined on filters; pairs
     are compared exactly, and counted in the smallest filter they share. A
-    filter over ``BLOCK`` members is spread over pairs of blocks.
+    vector travels once for all its filters of a group; a group over ``BLOCK``
+    vectors is spread over pairs of blocks.
 
     Returns one row per vector: ``id_col``, ``n_links`` (other rows linked
-    directly), ``component_id`` (smallest id reachable) and ``kept`` (the row
-    of that id). Null, empty, zero or non-finite vectors, and those of another
-    dimension than a pair's other one, link with nothing. Of repeated ids one
-    row is kept; null ids count last. Extra columns are ignored.
+    directly), ``component_id`` (smallest id reachable) and ``kept`` (whether
+    that is its own id; so are all rows of a repeated id). Null, empty, zero or
+    non-finite vectors, and those of another dimension than a pair's other one,
+    link with nothing. Null ids count last. Extra columns are ignored.
     """
 
     def normal(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,38 +229,43 @@ def near_embeddings(df: DataFrame, similarity: float = 0.95, id_col: str = "vec_
     classes = written(
         rows.where("unit is not null").groupBy("unit", "dim").agg(F.min("row").alias("cid"), F.count("*").alias("weight")), "directions"
     )
-    parts = []
+    hits, plans, nbytes = None, {}, 64
     for dim, n in sorted(tuple(r) for r in classes.groupBy("dim").count().collect()):  # one pass per dimension that occurs
-        rows_of = classes.where(F.col("dim") == dim).select("cid", "weight", "unit")
-        parts.append(rows_of.mapInArrow(_decode(dim, n, similarity), "filter long, cid long, weight long, unit binary, filters binary").withColumn("dim", F.lit(dim)))
-    if not parts:
+        decode, words, width = _decode(dim, n, similarity)
+        plans[dim], nbytes = (words, width), max(nbytes, 8 * dim + 200)
+        one = classes.where(F.col("dim") == dim).select("cid", "weight", "unit")
+        one = one.mapInArrow(decode, "filters_of long, cid long, weight long, unit binary, filters binary").withColumn("dim", F.lit(dim))
+        hits = one if hits is None else hits.unionByName(one)
+    if hits is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
     hits = written(hits, "hits")
-    sizes = hits.groupBy("dim", "filter").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    sizes = hits.groupBy("dim", "filters_of").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m"))
+    sizes = written(sizes.where("m > 1"), "sizes")
+    # One row in BLOCK / 2 at most is of a split group: what is left out of these is the bulk.
+    split = small(sizes.where("blocks > 1").select("dim", "filters_of", "blocks"), 32)
     block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     placed = (
-        salted(hits, sizes, ["dim", "filter"], "inner")
+        hits.join(split, ["dim", "filters_of"], "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
     )
-    # A task takes many small filters, and at most one part of a large one beside them.
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), hits.count() // 40_000)
-    spread = placed.repartition(parts, "dim", "filter", "i", "j")
-    found = written(spread.mapInArrow(_compare(similarity), "a long, b long, links long"), "links")
+    copies = sizes.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
+    # A task takes many small groups, and at most one part of a large one beside them.
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), copies * nbytes // TASK_BYTES)
+    spread_hits = placed.repartition(parts, "dim", "filters_of", "i", "j")
+    found = written(spread_hits.mapInArrow(_compare(similarity, plans), "a long, b long, links long"), "links")
+    release(hits, sizes)
     counts = found.where("links is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("k"))
     comps = connected_components(found.where("b is not null").select("a", "b"))
     known = classes.select("unit", "dim", "cid", "weight").join(counts, "cid", "left").join(comps.withColumnRenamed("id", "cid"), "cid", "left")
     side = known.select("unit", "dim", "weight", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("component", "cid").alias("c"))
     grouped = written(
-        salted(rows, side, ["unit", "dim"]).select("id", "row", (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), F.coalesce("c", "row").alias("c")), "grouped"
+        spread(rows, side, ["unit", "dim"]).select("id", (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), F.coalesce("c", "row").alias("c")), "grouped"
     )
-    first = grouped.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("f"))
-    release(hits)
-    return salted(grouped, first, ["c"]).select(
-        F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.col("f.id").alias("component_id"), (F.col("f.row") == F.col("row")).alias("kept")
+    first = grouped.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("f")).select("c", F.col("f.id").alias("component_id"))
+    return spread(grouped, first, ["c"]).select(
+        F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )

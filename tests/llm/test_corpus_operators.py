@@ -237,6 +237,19 @@ def test_embeddings(spark):
     assert embeddings.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_blocks_and_with_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 24)
+    ship(spark)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(1, 32)) + rng.normal(size=(150, 32)) * 0.16, rng.normal(size=(300, 32))])
+    df = spark.createDataFrame([(i // 2 if i > 440 else i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = embeddings.near_embeddings(df).collect()
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    links = ((y @ y.T >= 0.95).sum() - len(y)) / 2
+    assert links > 2000 and sum(r.n_links for r in rows) / 2 >= 0.999 * links
+    assert all(r.kept == (r.vec_id == r.component_id) for r in rows)
+
+
 def test_near_duplicates(docs, rows, empty):
     got = simhash.near_duplicates(docs).collect()
     sets = [set(simhash.shingle_hashes(t).tolist()) for _, t, *_ in rows]
