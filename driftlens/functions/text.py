@@ -80,13 +80,13 @@ def camel_to_kebab(s) -> Column:
 
 def kebab_to_camel(s) -> Column:
     parts = F.split(_col(s), "-")
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20)))
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p))))
     return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
 
 
 def block_to_component(block) -> Column:
     """``menu-toggle`` to ``MenuToggle``."""
-    return F.array_join(F.transform(F.split(_col(block), "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))), "")
+    return F.array_join(F.transform(F.split(_col(block), "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "")
 
 
 def trailing_suffix(name) -> Column:

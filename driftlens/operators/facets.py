@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-
 
 def json_map(content: str | Column, field: str) -> Column:
     """A string map of a JSON manifest; empty where the field is missing or no object."""
@@ -14,6 +12,13 @@ def json_map(content: str | Column, field: str) -> Column:
     return F.coalesce(F.from_json(F.get_json_object(text, f"$.{field}"), "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def json_bins(content: str) -> Column:
+    """Commands of a manifest; a plain string is one command of the package's name."""
+    raw = F.get_json_object(F.col(content), "$.bin")
+    name = F.coalesce(F.get_json_object(F.col(content), "$.name"), F.lit("<unknown>"))
+    return F.when(raw.isNotNull() & ~raw.startswith("{"), F.create_map(name, raw)).otherwise(json_map(content, "bin"))
+
+
 def map_diff(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """Entries of two map columns that were added, removed or changed."""
     a = pairs.select(key, F.explode(old).alias("field", "before"))
@@ -23,27 +28,27 @@ def map_diff(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     return both.withColumn("change", change).where("change is not null").select(key, "field", "change", "before", "after")
 
 
-#: Per dependency map, which changes break.
-_BREAKS = {"dependencies": (), "peerDependencies": ("added", "changed"), "engines": ("added", "changed"), "bin": ("removed", "changed")}
+#: Per map of a manifest, which changes count and whether they break.
+_BREAKS = {"peerDependencies": {"added": True, "removed": False, "changed": True}, "engines": {"added": True, "changed": True}, "bin": {"removed": True}}
 
 
 def manifest_diff(pairs: DataFrame, key: str = "case") -> DataFrame:
     """``old`` and ``new`` package manifests (JSON text): entry points, module system, exports, dependency maps."""
     at = lambda side, f: F.get_json_object(F.col(side), f"$.{f}")
     rows = []
-    for f in ("main", "module", "types"):
+    for f in ("main", "module", "types", "typings"):
         a, b = at("old", f), at("new", f)
-        row = F.struct(F.lit(f).alias("field"), F.lit("entry_point").alias("change"), a.isNotNull().alias("is_breaking"), a.alias("before"), b.alias("after"))
-        rows.append(F.when(~a.eqNullSafe(b), row))
+        row = F.struct(F.lit(f).alias("field"), F.lit("entry_point").alias("change"), F.lit(True).alias("is_breaking"), a.alias("before"), b.alias("after"))
+        rows.append(F.when(a.isNotNull() & ~a.eqNullSafe(b), row))
     a, b = (F.coalesce(at(s, "type"), F.lit("commonjs")) for s in ("old", "new"))
     row = F.struct(F.lit("type").alias("field"), F.lit("module_system").alias("change"), F.lit(True).alias("is_breaking"), a.alias("before"), b.alias("after"))
     rows.append(F.when(a != b, row))
     out = pairs.select(key, F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
     for f, breaks in _BREAKS.items():
-        d = map_diff(pairs.select(key, json_map("old", f).alias("a"), json_map("new", f).alias("b")), key, "a", "b")
-        out = out.unionByName(
-            d.select(key, F.concat(F.lit(f"{f}."), "field").alias("field"), F.concat(F.lit("dependency_"), "change").alias("change"), F.col("change").isin(*breaks).alias("is_breaking"), "before", "after")
-        )
+        of = json_bins if f == "bin" else lambda side, f=f: json_map(side, f)
+        d = map_diff(pairs.select(key, of("old").alias("a"), of("new").alias("b")), key, "a", "b").where(F.col("change").isin(*breaks))
+        matter = F.col("change").isin(*[c for c, b in breaks.items() if b])
+        out = out.unionByName(d.select(key, F.concat(F.lit(f"{f}."), "field").alias("field"), F.concat(F.lit("dependency_"), "change").alias("change"), matter.alias("is_breaking"), "before", "after"))
     d = map_diff(pairs.select(key, flat_exports("old").alias("a"), flat_exports("new").alias("b")), key, "a", "b")
     return out.unionByName(
         d.select(key, F.concat(F.lit("exports."), "field").alias("field"), F.concat(F.lit("export_"), "change").alias("change"), (F.col("change") != "added").alias("is_breaking"), "before", "after")
@@ -95,44 +100,9 @@ def set_diff(pairs: DataFrame, key: str, old: Column, new: Column) -> DataFrame:
     return lost.unionByName(got)
 
 
-def profile_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Facet rows (``component``, ``facet``, ``element``, ``key``, ``value``) that were added, removed or changed."""
-    on = ["component", "facet", "element", "key"]
-    side = lambda d, n: d.select(*[F.coalesce(c, F.lit("")).alias(c) for c in on], F.struct("value").alias(n))
-    both = side(old, "a").join(side(new, "b"), on, "full_outer")
-    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
-    return both.withColumn("change", change).where("change is not null").select(*on, "change", F.col("a.value").alias("before"), F.col("b.value").alias("after"))
-
-
 def assertion_lines(diffs: DataFrame, pattern: str) -> DataFrame:
     """Added and removed lines of unified diffs (``file``, ``diff``) that assert something."""
     lines = diffs.select("file", F.posexplode(F.split("diff", "\n")).alias("n", "line"))
     sign = F.substring("line", 1, 1)
     kept = lines.where(sign.isin("+", "-") & ~F.col("line").rlike(r"^(\+\+\+|---)") & F.col("line").rlike(pattern))
     return kept.select("file", "n", F.when(sign == "+", "added").otherwise("removed").alias("change"), F.trim(F.expr("substring(line, 2)")).alias("line"))
-
-
-def spec_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Pre- and postconditions of functions (``name``, ``kind``, ``text``) compared by squeezed text."""
-    a = old.select("name", "kind", T.squeeze("text").alias("clause")).distinct()
-    b = new.select("name", "kind", T.squeeze("text").alias("clause")).distinct()
-    lost = a.join(b, ["name", "kind", "clause"], "left_anti").withColumn("change", F.lit("removed"))
-    got = b.join(a, ["name", "kind", "clause"], "left_anti").withColumn("change", F.lit("added"))
-    # A new precondition or a lost guarantee breaks.
-    breaks = ((F.col("kind") == "precondition") & (F.col("change") == "added")) | ((F.col("kind") != "precondition") & (F.col("change") == "removed"))
-    return lost.unionByName(got).withColumn("is_breaking", breaks)
-
-
-def class_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Java class profiles by ``qualified_name``: final, sealed, abstract, superclass, interfaces, serialisable, permits."""
-    pairs = old.alias("a").join(new.alias("b"), "qualified_name")
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    row = lambda n, breaks, x, y: F.struct(F.lit(n).alias("category"), breaks.alias("is_breaking"), x.cast("string").alias("before"), y.cast("string").alias("after"))
-    rows = [F.when(a(f) != b(f), row(f, b(f), a(f), b(f))) for f in ("is_final", "is_sealed", "is_abstract")]
-    rows.append(F.when(a("is_serializable") != b("is_serializable"), row("is_serializable", a("is_serializable"), a("is_serializable"), b("is_serializable"))))
-    rows.append(F.when(~a("extends").eqNullSafe(b("extends")), row("extends", F.lit(True), a("extends"), b("extends"))))
-    flat = pairs.select("qualified_name", F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
-    for c, breaks in (("implements", True), ("permits", True)):
-        gone = pairs.select("qualified_name", F.explode(F.array_except(a(c), b(c))).alias("before"))
-        flat = flat.unionByName(gone.select("qualified_name", F.lit(f"{c}_removed").alias("category"), F.lit(breaks).alias("is_breaking"), "before", F.lit(None).cast("string").alias("after")))
-    return flat

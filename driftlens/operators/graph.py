@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import cut, steps
@@ -78,58 +78,73 @@ def propagate_one_level(changes: DataFrame, renders: DataFrame) -> DataFrame:
     )
 
 
+#: Relationships from the most telling to the least.
+RELATIONSHIPS = ("internal", "prop_passed", "direct_child")
+
+
 def combine_edges(signals: DataFrame) -> DataFrame:
-    """Signals of one (family, parent, child) as one edge: either dimension if any has it, the best relationship, all evidence."""
+    """Signals of one (family, parent, child) as one edge: either dimension if any has it, the most telling relationship.
+
+    ``signals`` are in order by ``ordinal``: so is the evidence, joined by
+    `` + ``, and the last prop name that one gives stands.
+    """
+    rank = F.array_position(F.array(*[F.lit(r) for r in RELATIONSHIPS]), F.col("relationship"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("evidence").isNotNull(), F.struct("ordinal", "evidence"))))
     return signals.groupBy("family", "parent", "child").agg(
         F.bool_or("chp").alias("chp"),
         F.bool_or("pmc").alias("pmc"),
-        F.min("relationship").alias("relationship"),
-        F.array_join(F.array_sort(F.collect_set("evidence")), "; ").alias("evidence"),
+        F.min_by("relationship", rank).alias("relationship"),
+        F.array_join(F.transform(ordered, lambda x: x["evidence"]), " + ").alias("evidence"),
+        F.max_by("prop_name", F.when(F.col("prop_name").isNotNull(), F.col("ordinal"))).alias("prop_name"),
     )
 
 
 def drop_two_way(edges: DataFrame) -> DataFrame:
-    """Of two required edges that point at each other, the one into the less referenced node loses ``chp``."""
-    into = edges.groupBy("family", "child").agg(F.count("*").alias("n"))
-    back = edges.where("chp").select("family", F.col("parent").alias("child"), F.col("child").alias("parent"), F.lit(True).alias("two_way"))
-    out = edges.join(back, ["family", "parent", "child"], "left")
-    out = out.join(into, ["family", "child"], "left").join(
-        into.select("family", F.col("child").alias("parent"), F.col("n").alias("m")), ["family", "parent"], "left"
-    )
-    mine, other = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
-    loses = F.col("chp") & F.coalesce("two_way", F.lit(False)) & ((mine < other) | ((mine == other) & (F.col("child") < F.col("parent"))))
-    return out.withColumn("chp", F.col("chp") & ~loses).drop("two_way", "n", "m")
+    """Of two edges that point at each other and both bind the child, the weaker one becomes allowed (neither dimension).
+
+    Required is over wrapper, structural and allowed, in that order. Of two
+    equals the edge into the child with more binding edges stays, and on a tie
+    the one into the later name. An edge from a node to itself is dropped so too.
+    """
+    chp = edges.where("chp")
+    into = chp.groupBy("family", "child").agg(F.count("*").alias("n"))
+    back = chp.select("family", F.col("parent").alias("child"), F.col("child").alias("parent"), F.col("pmc").alias("back"))
+    out = edges.join(back, ["family", "parent", "child"], "left").join(into, ["family", "child"], "left")
+    out = out.join(into.select("family", F.col("child").alias("parent"), F.col("n").alias("m")), ["family", "parent"], "left")
+    stronger = F.col("back") & ~F.col("pmc")
+    fewer = (F.col("back") == F.col("pmc")) & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("child") <= F.col("parent"))))
+    loses = F.coalesce(F.col("chp") & (stronger | fewer), F.lit(False))
+    return out.withColumns({"chp": F.col("chp") & ~loses, "pmc": F.col("pmc") & ~loses}).drop("back", "n", "m")
 
 
 def collapse_internal(edges: DataFrame, exported: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Edges between exported nodes, paths through internal ones folded to one.
 
-    Along a path a wrapper hop (``pmc`` only) passes the other's strength on,
-    an allowed one (neither) makes it allowed, else both must hold.
+    A hop whose parent must have its child hands on the strength of the next
+    hop, any other makes the whole path allowed. Of several ways from one node
+    to another the direct edge counts, else the shortest, the strongest of these.
     """
+    cols = ["family", "parent", "child", "chp", "pmc"]
     names = cut(exported.select("family", "node").distinct())
     flag = lambda d, side: d.join(names.select("family", F.col("node").alias(side), F.lit(True).alias(f"{side}_out")), ["family", side], "left")
-    marked = cut(flag(flag(edges.select("family", "parent", "child", "chp", "pmc"), "parent"), "child"))
-    done = marked.where("parent_out and child_out").select("family", "parent", "child", "chp", "pmc")
-    front = cut(marked.where("parent_out and child_out is null").select("family", "parent", "child", "chp", "pmc"))
-    hops = marked.where("parent_out is null").select(F.col("family").alias("in_family"), F.col("parent").alias("mid"), F.col("child").alias("next"), F.col("chp").alias("c2"), F.col("pmc").alias("p2"), "child_out")
-    wrapper, allowed = (lambda c, p: ~c & p), (lambda c, p: ~c & ~p)
-    seen = front.select("family", "parent", "child")
+    marked = cut(flag(flag(edges.select(*cols), "parent"), "child"))
+    done = marked.where("parent_out and child_out").select(*cols, F.lit(0).alias("hops"))
+    front = cut(marked.where("parent_out and child_out is null").select(*cols))
+    hops = marked.where("parent_out is null").select("family", F.col("parent").alias("mid"), F.col("child").alias("next"), F.col("chp").alias("c2"), F.col("pmc").alias("p2"), "child_out")
+    seen = front.select(*cols)
     for depth in steps(max_depth):
         if not front.limit(1).count():
             break
-        step = front.join(hops, (F.col("family") == F.col("in_family")) & (F.col("child") == F.col("mid")))
-        a, b, c, d = F.col("chp"), F.col("pmc"), F.col("c2"), F.col("p2")
-        none = allowed(a, b) | allowed(c, d)
-        chp = F.when(none, False).when(wrapper(a, b), c).when(wrapper(c, d), a).otherwise(a & c)
-        pmc = F.when(none, False).when(wrapper(a, b), d).when(wrapper(c, d), b).otherwise(b & d)
-        step = cut(step.select("family", "parent", F.col("next").alias("child"), chp.alias("chp"), pmc.alias("pmc"), "child_out"))
-        done = done.unionByName(step.where("child_out and parent <> child").drop("child_out"))
-        front = cut(step.where("child_out is null").drop("child_out").join(seen, ["family", "parent", "child"], "left_anti"))
-        seen = seen.unionByName(front.select("family", "parent", "child"))
+        step = front.withColumnRenamed("child", "mid").join(hops, ["family", "mid"])
+        step = cut(step.select("family", "parent", F.col("next").alias("child"), (F.col("pmc") & F.col("c2")).alias("chp"), (F.col("pmc") & F.col("p2")).alias("pmc"), "child_out").distinct())
+        done = done.unionByName(step.where("child_out and parent <> child").select(*cols, F.lit(depth).alias("hops")))
+        # A node is passed once for each strength that a path to it may have.
+        front = cut(step.where("child_out is null").select(*cols).join(seen, cols, "left_anti"))
+        seen = seen.unionByName(front)
         if depth % 50 == 0:
             seen, done = cut(seen), cut(done)
-    return done.groupBy("family", "parent", "child").agg(F.bool_or("chp").alias("chp"), F.bool_or("pmc").alias("pmc"))
+    best = F.max_by(F.struct("chp", "pmc"), F.struct(-F.col("hops"), F.col("pmc"), F.col("chp")))
+    return done.groupBy("family", "parent", "child").agg(best.alias("s")).select("family", "parent", "child", "s.chp", "s.pmc")
 
 
 def two_hop_violations(edges: DataFrame) -> DataFrame:
@@ -163,7 +178,3 @@ def levels(deps: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> D
             done = cut(done)
         left = cut(left.join(ready, "node", "left_anti"))
     return done if done is not None else left.withColumn("level", F.lit(0))
-
-
-def order_in(df: DataFrame, parts: list[str], by: list, name: str = "n") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*parts).orderBy(*by)))

@@ -175,8 +175,11 @@ def default_export_dedupe(changes: DataFrame) -> DataFrame:
 
 
 def swap_replacements(stopped: DataFrame, started: DataFrame) -> DataFrame:
-    """What hosts render instead: for each component that hosts stopped rendering, the one most of them started."""
+    """What hosts render instead: for each component that hosts stopped rendering, the one most of them started.
+
+    Of several, one that is a group like it, or like it isn't, then the first by name.
+    """
     pairs = stopped.select("host", F.col("component").alias("old")).join(started.select("host", F.col("component").alias("new")), "host")
     counted = pairs.where("old <> new").groupBy("old", "new").agg(F.count_distinct("host").alias("hosts"))
-    best = F.row_number().over(Window.partitionBy("old").orderBy(F.desc("hosts"), "new"))
+    best = F.row_number().over(Window.partitionBy("old").orderBy(F.desc("hosts"), F.desc(F.col("old").endswith("Group") == F.col("new").endswith("Group")), "new"))
     return counted.withColumn("r", best).where("r = 1").drop("r")

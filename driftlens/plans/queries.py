@@ -87,16 +87,14 @@ def rename_greedy_match(old, new):
     return matching.greedy_assignment(matching.rename_candidates(*_sides(old, new)))
 
 
-@query("old_symbols", "new_symbols", oracle=_SIDES + """, pairs AS (SELECT r.qualified_name AS old, a.qualified_name AS new, r.name AS old_name, a.name AS new_name,
-      regexp_extract(r.qualified_name, '^(.*)/[^/]*$', 1) AS d0, regexp_extract(a.qualified_name, '^(.*)/[^/]*$', 1) AS d1
-      FROM removed r JOIN added a ON r.kind = a.kind AND r.package = a.package AND r.ordinal % 97 = a.ordinal % 97),
+@query("old_symbols", "new_symbols", oracle=_SIDES + """, a AS (SELECT *, count(*) OVER (PARTITION BY kind, package, return_type) AS n_old FROM removed),
+    b AS (SELECT *, count(*) OVER (PARTITION BY kind, package, return_type) AS n_new FROM added),
+    pairs AS (SELECT a.qualified_name AS old, b.qualified_name AS new, a.name AS old_name, b.name AS new_name, regexp_extract(a.qualified_name, '^(.*)/[^/]*$', 1) AS d0, regexp_extract(b.qualified_name, '^(.*)/[^/]*$', 1) AS d1
+      FROM a JOIN b ON a.kind = b.kind AND a.package = b.package AND a.return_type IS NOT DISTINCT FROM b.return_type WHERE n_old <= 50 AND n_new <= 50),
     counted AS (SELECT *, count(*) OVER (PARTITION BY d0, d1) AS n FROM pairs)
     SELECT old, new, old_name, new_name FROM counted WHERE d0 = d1 OR n > 1 OR old_name = new_name""")
 def rename_sibling_guard(old, new):
-    removed, added = _sides(old, new)
-    a = removed.select(F.col("qualified_name").alias("old"), F.col("name").alias("old_name"), "kind", "package", (F.col("ordinal") % 97).alias("m"))
-    b = added.select(F.col("qualified_name").alias("new"), F.col("name").alias("new_name"), "kind", "package", (F.col("ordinal") % 97).alias("m"))
-    return matching.sibling_guard(a.join(b, ["kind", "package", "m"]).select("old", "new", "old_name", "new_name"))
+    return matching.sibling_guard(matching.fingerprint_pairs(*_sides(old, new), _BLOCK).select("old", "new", "old_name", "new_name"))
 
 
 @query("old_tokens", "new_tokens", oracle=""", a AS (SELECT name AS old, list_distinct(string_split(lower(name), '_')) AS s FROM old_tokens),
@@ -219,9 +217,10 @@ def call_graph_walkup(calls, changed, functions):
     return graph.walk_up(calls, changed, functions).select("root", "broken", F.round("confidence", 6).alias("confidence"))
 
 
-@query("calls", "changed", oracle=""", walk(node) AS (SELECT root FROM changed WHERE root IN ('s1', 's5') UNION SELECT callee FROM walk JOIN calls ON caller = node) SELECT node FROM walk""")
-def reachability(calls, changed):
-    roots = changed.where("root in ('s1', 's5')").select(F.col("root").alias("node"))
+@query("calls", "functions", oracle=""", walk(node) AS (SELECT name FROM functions WHERE is_public UNION SELECT callee FROM walk JOIN calls ON caller = node) SELECT node FROM walk""")
+def reachability(calls, functions):
+    """What public functions call, at any depth."""
+    roots = functions.where("is_public").select(F.col("name").alias("node"))
     return graph.reachable(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), roots).select("node")
 
 
@@ -230,8 +229,8 @@ def transitive_closure(extends, flagged):
     return graph.closure_of_flag(extends, flagged)
 
 
-@query("signals", oracle=""" SELECT family, parent, child, bool_or(chp) AS chp, bool_or(pmc) AS pmc, min(relationship) AS relationship, string_agg(DISTINCT evidence, '; ' ORDER BY evidence) AS evidence
-    FROM signals GROUP BY family, parent, child""")
+@query("signals", oracle=""" SELECT family, parent, child, bool_or(chp) AS chp, bool_or(pmc) AS pmc, CASE WHEN bool_or(relationship = 'internal') THEN 'internal' WHEN bool_or(relationship = 'prop_passed') THEN 'prop_passed' ELSE 'direct_child' END AS relationship,
+    coalesce(string_agg(evidence, ' + ' ORDER BY ordinal), '') AS evidence, arg_max(prop_name, ordinal) FILTER (WHERE prop_name IS NOT NULL) AS prop_name FROM signals GROUP BY family, parent, child""")
 def edge_strength_combine(signals):
     return graph.combine_edges(signals)
 
@@ -243,11 +242,11 @@ def conformance_two_hop(signals):
     return graph.two_hop_violations(signals.where("chp").select("family", "parent", "child").distinct())
 
 
-@query("signals", oracle=""", e AS (SELECT family, parent, child, bool_or(chp) AS chp, bool_or(pmc) AS pmc FROM signals GROUP BY ALL),
-    i AS (SELECT family, child AS node, count(*) AS n FROM e GROUP BY ALL)
-    SELECT e.family, e.parent, e.child, e.chp AND NOT (e.chp AND b.family IS NOT NULL AND (coalesce(x.n, 0) < coalesce(y.n, 0) OR (coalesce(x.n, 0) = coalesce(y.n, 0) AND e.child < e.parent))) AS chp, e.pmc
-    FROM e LEFT JOIN e b ON b.chp AND b.family = e.family AND b.parent = e.child AND b.child = e.parent
-    LEFT JOIN i x ON x.family = e.family AND x.node = e.child LEFT JOIN i y ON y.family = e.family AND y.node = e.parent""")
+@query("signals", oracle=""", e AS (SELECT family, parent, child, bool_or(chp) AS chp, bool_or(pmc) AS pmc FROM signals GROUP BY ALL), r AS (SELECT *, CASE WHEN chp AND pmc THEN 3 WHEN pmc THEN 2 WHEN chp THEN 1 ELSE 0 END AS strength FROM e),
+    i AS (SELECT family, child AS node, count(*) AS n FROM e WHERE chp GROUP BY ALL), two AS (SELECT f.family, f.parent, f.child, f.strength AS fs, b.strength AS bs, x.n AS fin, y.n AS bin FROM r f JOIN r b ON f.chp AND b.chp AND b.family = f.family AND b.parent = f.child AND b.child = f.parent AND f.parent <= f.child
+      JOIN i x ON x.family = f.family AND x.node = f.child JOIN i y ON y.family = f.family AND y.node = f.parent),
+    lost AS (SELECT family, CASE WHEN fs < bs OR (fs = bs AND fin < bin) THEN parent ELSE child END AS parent, CASE WHEN fs < bs OR (fs = bs AND fin < bin) THEN child ELSE parent END AS child FROM two)
+    SELECT family, parent, child, chp AND l.family IS NULL AS chp, pmc AND l.family IS NULL AS pmc FROM e LEFT JOIN (SELECT *, family AS f2 FROM lost) l USING (family, parent, child)""".replace("l.family IS NULL", "l.f2 IS NULL"))
 def two_way_downgrade(signals):
     return graph.drop_two_way(graph.combine_edges(signals).select("family", "parent", "child", "chp", "pmc"))
 
@@ -258,7 +257,7 @@ def propagate_one_level(behaviour, renders):
 
 
 @query("stopped", "started", oracle=""", p AS (SELECT s.component AS old, t.component AS new, count(DISTINCT host) AS hosts FROM stopped s JOIN started t USING (host) WHERE s.component <> t.component GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY hosts DESC, new) AS k FROM p) SELECT old, new, hosts FROM r WHERE k = 1""")
+    r AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY hosts DESC, (old LIKE '%Group') = (new LIKE '%Group') DESC, new) AS k FROM p) SELECT old, new, hosts FROM r WHERE k = 1""")
 def swap_replacement(stopped, started):
     return matching.swap_replacements(stopped, started)
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from driftlens.operators import compare, facets, graph, matching, report
+from driftlens.operators import compare, facets, graph, matching, profiles, report
 
 
 def rows(df):
@@ -137,6 +137,26 @@ def test_collapse_internal(spark):
     edges = spark.createDataFrame([("f", "A", "i", False, True), ("f", "i", "B", True, False), ("f", "A", "C", True, True)], "family string, parent string, child string, chp boolean, pmc boolean")
     exported = spark.createDataFrame([("f", n) for n in "ABC"], "family string, node string")
     assert rows(graph.collapse_internal(edges, exported)) == [("f", "A", "B", True, False), ("f", "A", "C", True, True)]
+    # A hop whose parent doesn't need its child makes the path allowed; one that does hands on what follows.
+    hop = lambda a, b: spark.createDataFrame([("f", "A", "i", *a), ("f", "i", "B", *b)], edges.schema)
+    required, structural, wrapper = (True, True), (True, False), (False, True)
+    assert rows(graph.collapse_internal(hop(structural, required), exported)) == [("f", "A", "B", False, False)]
+    assert rows(graph.collapse_internal(hop(required, wrapper), exported)) == [("f", "A", "B", False, True)]
+
+
+def test_two_way_edges_keep_the_stronger(spark):
+    schema = "family string, parent string, child string, chp boolean, pmc boolean"
+    edges = spark.createDataFrame([("f", "A", "B", True, True), ("f", "B", "A", True, False), ("g", "A", "B", True, False), ("g", "B", "A", True, False), ("g", "C", "B", True, False)], schema)
+    got = {(r.family, r.parent, r.child): (r.chp, r.pmc) for r in graph.drop_two_way(edges).collect()}
+    assert got[("f", "A", "B")] == (True, True) and got[("f", "B", "A")] == (False, False)
+    # Of equals the edge into the child that more edges bind stays.
+    assert got[("g", "A", "B")] == (True, False) and got[("g", "B", "A")] == (False, False)
+
+
+def test_combined_edge_takes_the_most_telling_relationship(spark):
+    rows_ = [("f", "A", "B", True, False, "direct_child", "x", 2, None), ("f", "A", "B", False, True, "prop_passed", "y", 1, "p"), ("f", "A", "C", False, False, "prop_passed", None, 1, None), ("f", "A", "C", False, False, "internal", "z", 2, None)]
+    signals = spark.createDataFrame(rows_, "family string, parent string, child string, chp boolean, pmc boolean, relationship string, evidence string, ordinal long, prop_name string")
+    assert rows(graph.combine_edges(signals)) == [("f", "A", "B", True, True, "prop_passed", "y + x", "p"), ("f", "A", "C", False, False, "internal", "z", None)]
 
 
 def test_levels(spark):
@@ -149,7 +169,7 @@ def test_manifest(spark):
     old = '{"main": "a.js", "peerDependencies": {"react": "17"}, "exports": {".": {"import": "./a.mjs"}}}'
     new = '{"main": "b.js", "type": "module", "peerDependencies": {"react": "18"}, "exports": {".": {"import": "./b.mjs"}}}'
     df = spark.createDataFrame([(1, old, new)], "case int, old string, new string")
-    got = {(r.field, r.is_breaking, r.before, r.after) for r in facets.manifest_diff(df).collect()}
+    got = {(r.field, r.is_breaking, r.before, r.after) for r in facets.manifest_diff(df, "case").collect()}
     assert got == {("main", True, "a.js", "b.js"), ("type", True, "commonjs", "module"), ("peerDependencies.react", True, "17", "18"), ("exports..#import", True, "./a.mjs", "./b.mjs")}
 
 
@@ -171,11 +191,11 @@ def test_rules(spark):
 
 
 def test_java_classes(spark):
-    schema = "qualified_name string, is_final boolean, is_sealed boolean, is_abstract boolean, is_serializable boolean, extends string, implements array<string>, permits array<string>"
-    old = spark.createDataFrame([("C", False, False, False, True, "A", ["I", "J"], [])], schema)
-    new = spark.createDataFrame([("C", True, False, False, False, "B", ["I"], [])], schema)
-    got = {(r.category, r.is_breaking) for r in facets.class_changes(old, new).collect()}
-    assert got == {("is_final", True), ("is_serializable", True), ("extends", True), ("implements_removed", True)}
+    schema = "qualified_name string, is_final boolean, is_sealed boolean, permits array<string>, extends string, implements array<string>, constructor_params array<string>"
+    old = spark.createDataFrame([("C", False, True, ["P", "Q"], "A", ["I", "J"], [])], schema)
+    new = spark.createDataFrame([("C", True, True, ["P"], "B", ["I"], ["X"])], schema)
+    got = sorted((r.category, r.is_breaking) for r in profiles.java_class_changes(old, new).collect())
+    assert got == [("final_added", True), ("inheritance_changed", True), ("inheritance_changed", True), ("sealed_changed", True)]
 
 
 def test_empty_tables(spark):
