@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap_filter, bytes_of, salted, written
+from .shared import bitmap_filter, bytes_of, spread, written
 
 #: Leading characters that the second step hashes.
 HEAD = 256
@@ -53,7 +53,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         .agg(F.max(F.struct("__id", "__row")).alias("__keep"), F.count("*").alias("__n"))
         .where("__n > 1")
     )
-    out = salted(hashed, groups, ["__full"])
+    out = spread(hashed, groups, ["__full"])
     alone = F.col("__n").isNull()
     return out.select(
         F.col("__id").alias(id_col),

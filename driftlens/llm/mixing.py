@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .shared import release, salted, written
+from .shared import release, small, spread, written
 
 #: Items that one fold of the reduction tree takes, on average.
 FAN_IN = 64
+#: Times that a source's miss is lessened by turning over one document.
+CORRECTIONS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -126,6 +128,19 @@ def pivotal_rounding(items: DataFrame, seed: int) -> DataFrame:
     return out if decided else spark.createDataFrame([], "row bigint, one boolean")
 
 
+def _corrected(out: DataFrame, seed: int) -> DataFrame:
+    """Turn over the rounding of one document per source, the one whose size is nearest to what its source misses."""
+    n = F.col("whole") + F.coalesce(F.col("one").cast("long"), F.lit(0))
+    miss = written(out.groupBy("g").agg((F.first("target") - F.sum(n * F.col("size"))).alias("miss")).where("abs(miss) >= 1"), "miss")
+    open_ = spread(out.where("one is not null").select("row", "id", "g", "size", "one"), miss, ["g"], "inner")
+    fits = open_.where((F.col("one") == (F.col("miss") < 0)) & (F.col("size") < 2 * F.abs("miss")))
+    nearest = F.min(F.struct(F.abs(F.col("size") - F.abs("miss")).alias("off"), F.xxhash64("id", F.lit(seed)).alias("key"), "row"))
+    turned = fits.groupBy("g").agg(nearest.alias("t")).select(F.col("t.row").alias("row"), F.lit(True).alias("turned"))
+    after = written(out.join(small(turned, 16), "row", "left").withColumn("one", F.when(F.col("turned"), ~F.col("one")).otherwise(F.col("one"))).drop("turned"), "rounded")
+    release(out, miss)
+    return after
+
+
 def mix_sources(
     df: DataFrame,
     weights=(5, 2, 1),
@@ -142,7 +157,8 @@ def mix_sources(
     A document's copies are its source's target over its size, between 0 and
     ``most``: the whole part is taken outright, the fraction by dependent
     rounding over the source's documents with sizes as weights, so that a
-    source's words miss its target by at most half a document.
+    source's words miss its target by at most half a document; then, ``CORRECTIONS``
+    times, the document whose size is nearest to what is still amiss is turned over.
 
     Returns one row per row of ``df``: ``id_col``, ``size`` (words of the text,
     0 for null), ``source_size``, ``target``, ``copies``, ``taken``, and what ``carry``
@@ -164,14 +180,16 @@ def mix_sources(
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("n"))
     targets = written(source_targets(sizes, weights, share, most), "targets")
     keyed = targets.select(F.struct("source").alias("g"), "source_size", "n", "target")
-    full = salted(rows.withColumn("g", F.struct("source")), keyed, ["g"])
+    full = spread(rows.withColumn("g", F.struct("source")), keyed, ["g"])
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     full = full.withColumn("whole", F.floor(copies)).withColumn("p", copies - F.floor(copies))
     items = full.where("size > 0 and p > 0").select(
         "row", F.xxhash64("id", F.lit(seed)).alias("key"), "g", "n", F.col("size").cast("double").alias("s"), "p"
     )
     rounded = pivotal_rounding(items, seed)
-    out = full.join(rounded, "row", "left")
+    out = written(full.join(rounded, "row", "left"), "rounded")
+    for _ in range(CORRECTIONS):
+        out = _corrected(out, seed)
     n = F.col("whole") + F.coalesce(F.col("one").cast("long"), F.lit(0))
     return out.select(
         F.col("id").alias(id_col), "size", "source_size", "target", n.cast("long").alias("copies"), (n * F.col("size")).cast("long").alias("taken"),

@@ -22,6 +22,8 @@ def workspace(spark: SparkSession) -> str:
     """The shared folder for written tables: spark.checkpoint.dir, or a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="driftlens-")
         atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -110,7 +112,7 @@ def spread(big: DataFrame, side: DataFrame, on: list[str], how: str = "left", pe
 
 
 def joined(big: DataFrame, side: DataFrame, on: list[str], row_bytes: int, how: str = "left") -> DataFrame:
-    """Join one row per key: broadcast if its counted size allows it, else salted."""
+    """Join one row per key: broadcast if its counted size allows it, else salted; for a written ``big`` see ``spread``."""
     hinted = small(side, row_bytes)
     return salted(big, side, on, how) if hinted is side else big.join(hinted, on, how)
 

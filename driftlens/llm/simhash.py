@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bitmap_filter, release, salted, small, written
+from .shared import bitmap_filter, release, salted, small, spread, written
 
 BITS = 256
 #: Words to a shingle, and the least Jaccard similarity of shingle sets.
@@ -273,12 +273,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     links = tasks.groupBy("component", "i", "j").applyInPandas(_verify(most), "a long, b long")
     linked = written(connected_components(links), "linked")
-    of = salted(base.select("row", "id", "digest"), classes.select("digest", "cid"), ["digest"])
+    of = spread(base.select("row", "id", "digest"), classes.select("digest", "cid"), ["digest"])
     grouped = written(
         salted(of, linked.select(F.col("id").alias("cid"), "component"), ["cid"]).select("row", "id", *["digest"] * digests, F.coalesce("component", "cid").alias("component")), "grouped"
     )
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("f"), F.count("*").alias("n"))
     release(whole)
-    return salted(grouped, first, ["component"]).select(
+    return spread(grouped, first, ["component"]).select(
         F.col("id").alias(id_col), F.col("f.id").alias("class_id"), F.col("n").alias("class_size"), (F.col("f.row") == F.col("row")).alias("kept"), *["digest"] * digests
     )

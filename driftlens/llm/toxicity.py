@@ -130,7 +130,9 @@ def fit_chain(
         for f in frames:
             yield f.assign(w=[sorted(features(t)) for t in f.pop("text")])
 
+    # One text per id, however often the id repeats: what is collected below is at most ``sample`` rows.
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
+    picked = picked.groupBy("__id", *ys).agg(F.min("text").alias("text")).select("__id", "text", *ys)
     rows = picked.mapInPandas(tokens, f"__id {dict(docs.dtypes)[id_col]}, {', '.join(f'{y} int' for y in ys)}, w array<string>")
     rows = written(rows, "labelled")
     totals = rows.agg(*[f for y in ys for f in (F.count(y), F.coalesce(F.sum(y), F.lit(0)))]).first()

@@ -25,6 +25,11 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def canonical_url(url: Column) -> Column:
+    """Host and path of a url as they are listed: no scheme, query or fragment; what has no ``://`` is taken as it stands."""
+    return F.when(F.contains(url, F.lit("://")), F.concat(url_host(url), url_path(url))).otherwise(url)
+
+
 def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("block")), F.lit(blocks))
 
@@ -62,8 +67,8 @@ def url_filter(
     ``rules``: ``host``, ``path``, ``verdict`` (allow or block). A rule fits its
     host and all subdomains where the url's path starts with the rule's; the
     longest host and path wins (equal length: longer host, then block).
-    ``listed``: ``url``, canonical urls (host and path, no scheme, query or
-    fragment) that are blocked where no rule fits; every other url is allowed.
+    ``listed``: ``url``, urls that are blocked, in their canonical form, where
+    no rule fits; every other url is allowed.
 
     Rules and list form one table of canonical keys. Each url yields its host's
     suffixes joined to its path's prefixes of listed lengths; the Bloom filter
@@ -89,8 +94,8 @@ def url_filter(
     if listed is not None:
         keys = keys.unionByName(
             listed.where("url is not null").select(
-                F.col("url").alias("__key"),
-                F.length(F.regexp_extract("url", "^[^/]*", 0)).alias("__hosts"),
+                canonical_url(F.col("url")).alias("__key"),
+                F.length(F.regexp_extract(canonical_url(F.col("url")), "^[^/]*", 0)).alias("__hosts"),
                 F.lit(False).alias("__prefix"),
                 F.lit("block").alias("__verdict"),
                 F.lit(-1).alias("__length"),

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import joined, salted, written
+from .shared import salted, small, spread, written
 
 #: A WARC file is closed once it holds so many compressed bytes.
 FILE_BYTES = 256 << 20
@@ -238,7 +238,8 @@ def archived(spark: SparkSession, path: str, id_col: str = "page_id", id_type: s
     """Per record of the WARC files: id, full payload's bytes and digest, type, and the id it refers to."""
     got = written(read_archive(spark, path, payloads=False).drop("payload"), "records")
     sizes = got.where("warc_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("payload_bytes").alias("__bytes"))
-    out = joined(got, sizes, ["refers_to_record"], 96)
+    hinted = small(sizes, 96)
+    out = spread(got, sizes, ["refers_to_record"]) if hinted is sizes else got.join(hinted, ["refers_to_record"], "left")
     return out.select(
         F.col("id").cast(id_type).alias(id_col),
         F.coalesce("payload_bytes", "__bytes").alias("payload_bytes"),

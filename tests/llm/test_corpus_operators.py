@@ -24,7 +24,7 @@ from driftlens.llm import (
     url_filter,
     warc,
 )
-from driftlens.llm.shared import bitmap_filter, new_path, ship
+from driftlens.llm.shared import bitmap_filter, new_path, ship, spread
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -363,11 +363,30 @@ def test_crossover_keeps_every_item_once():
     assert np.bincount(child, weights=lengths).max() <= 2048
 
 
+def test_mix_comes_near_its_targets(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, "w " * rng.choice([3, 40, 90, 700]), "abc"[i % 3]) for i in range(240)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert all(abs(taken[s] - t) <= 45 for s, t in target.items())
+
+
+def test_spread_splits_hot_keys_and_keeps_nulls(spark):
+    big = spark.range(300).selectExpr("id", "case when id < 200 then 1 when id < 250 then null else id end as k")
+    side = spark.createDataFrame([(1, "x"), (260, "y")], "k long, v string")
+    got = Counter(r.v for r in spread(big, side, ["k"], per=16).collect())
+    assert got == {"x": 200, "y": 1, None: 99}
+    assert spread(big, side, ["k"], "inner", per=16).count() == 201
+
+
 def test_url_filter(spark):
     urls = ["https://A.Example.com/en/1?x", "http://www.example.com/en/", "http://example.com/de", "http://x.net/es/a", "http://x.net/de", "http://badexample.com/en/", "no url", None, "x://", "http://com/", "http://q.org/listed#f", "HTTP://Q.org/listed/2", "http://x.net/es/a"]
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "path", "rule")})
-    listed = spark.createDataFrame([("q.org/listed",), ("x.net/es/a",)], "url string")
+    listed = spark.createDataFrame([("https://Q.org/listed?utm=1",), ("x.net/es/a",)], "url string")
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), listed).collect()}
     want = ["example.com/en/:block", "www.example.com/en/:allow", "com/:allow", "net/es/:block", ":allow", "com/:allow", ":allow", ":allow", ":allow", "com/:allow", ":block", ":allow", "net/es/:block"]
     assert [f"{got[i][0] or ''}:{got[i][1]}" for i in range(len(urls))] == want
