@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names, or a temporary one where that is unset."""
+    """A reliable checkpoint in the folder that spark.checkpoint.dir names, or, in local mode, a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftlens-")
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        where = where or tempfile.mkdtemp(prefix="driftlens-")
         sc.setCheckpointDir(where)
     return df.checkpoint()
 
