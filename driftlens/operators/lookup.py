@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .tables import cut
+from .tables import cut, steps
 
 
 def importers(imports: DataFrame, targets: DataFrame) -> DataFrame:
@@ -91,19 +91,18 @@ def managed_attributes(changed: DataFrame, bindings: DataFrame) -> DataFrame:
     return bindings.join(changed.select(F.col("function").alias("generator")).distinct(), "generator", "left_semi").distinct()
 
 
-def inherited_props(props: DataFrame, extends: DataFrame, rounds: int = 8) -> DataFrame:
-    """Own and inherited props: ``interface``, ``prop``, up to ``2 ** rounds`` levels of ``extends`` (child, parent)."""
-    links = extends.select("child", "parent").where("child <> parent").distinct()
-    for _ in range(rounds):
+def inherited_props(props: DataFrame, extends: DataFrame) -> DataFrame:
+    """Own and inherited props: ``interface``, ``prop``, through all levels of ``extends`` (child, parent).
+
+    Each round doubles the reach of the links, until none is new.
+    """
+    links = cut(extends.select("child", "parent").where("child <> parent").distinct())
+    known = links.count()
+    for _ in steps(None):
         longer = links.join(links.select(F.col("child").alias("parent"), F.col("parent").alias("top")), "parent").select("child", F.col("top").alias("parent"))
-        grown = cut(links.unionByName(longer).where("child <> parent").distinct())
-        if grown.count() == links.count():
+        links = cut(links.unionByName(longer).where("child <> parent").distinct())
+        if (now := links.count()) == known:
             break
-        links = grown
+        known = now
     got = links.join(props.withColumnRenamed("interface", "parent"), "parent").select(F.col("child").alias("interface"), "prop")
     return props.select("interface", "prop").unionByName(got).distinct()
-
-
-def first_candidate(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("r", rank).where("r = 1").drop("r")

@@ -11,12 +11,6 @@ from .tables import cut, steps
 SAME_FAMILY, CROSS_FAMILY, AMBIGUOUS, NAME_ONLY, GROUP_CAP = 0.15, 0.50, 0.45, 0.6, 50
 
 
-def last_by(df: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """The last row of each key; the lookup side of a match has one row per key."""
-    cols = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*cols), ordinal).alias("s")).select(key, "s.*")
-
-
 def exact_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Added, removed and changed keys with their values; removals and changes are breaking."""
     a = old.select(F.col(key).alias("k"), F.col(value).alias("before"), F.lit(True).alias("o"))

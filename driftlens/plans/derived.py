@@ -132,6 +132,31 @@ SQL = {
         CASE o_custkey % 4 WHEN 0 THEN 'src/deprecated/a.ts' ELSE 'src/a.ts' END AS file, CASE WHEN o_custkey % 11 = 0 THEN 'Toolbar' END AS target, CASE WHEN o_custkey % 9 = 0 THEN 'newProp' END AS disposition FROM orders """,
     "manifests": """SELECT CAST(o_orderkey AS STRING) AS case_id, '{"name": "n", "main": "a' || CAST(o_custkey % 3 AS STRING) || '.js", ' || CASE WHEN o_custkey % 2 = 0 THEN '"type": "module", ' ELSE '' END || '"peerDependencies": {"react": "' || CAST(o_custkey % 4 AS STRING) || '", "x' || CAST(o_custkey % 3 AS STRING) || '": "1"}, "engines": {"node": "' || CAST(o_custkey % 3 AS STRING) || '"}, "bin": ' || CASE WHEN o_custkey % 3 = 0 THEN '"cli.js"' ELSE '{"run": "r.js"}' END || ', "dependencies": {"d": "1"}}' AS old,
         '{"name": "n", ' || CASE WHEN o_orderkey % 5 > 0 THEN '"main": "a' || CAST(o_orderkey % 3 AS STRING) || '.js", ' ELSE '' END || '"module": "m.js", ' || CASE WHEN o_orderkey % 3 = 0 THEN '"type": "module", ' ELSE '' END || '"peerDependencies": {"react": "' || CAST(o_orderkey % 4 AS STRING) || '", "x' || CAST(o_orderkey % 3 AS STRING) || '": "1"}, "engines": {"node": "' || CAST(o_orderkey % 3 AS STRING) || '"}, "bin": {"run": "s.js"}, "dependencies": {"d": "2"}}' AS new FROM orders """,
+    "imports": "SELECT 'f' || CAST(l_orderkey AS STRING) AS file, 's' || CAST(l_partkey AS STRING) AS symbol, 'm' || CAST(l_suppkey % 5 AS STRING) AS module FROM lineitem",
+    "import_targets": "SELECT 's' || CAST(p_partkey AS STRING) AS symbol, 'm' || CAST(p_size % 5 AS STRING) AS module FROM part",
+    "file_calls": "SELECT 'f' || CAST(l_partkey AS STRING) AS file, 'c' || CAST(l_suppkey % 9 AS STRING) AS caller, 'c' || CAST(l_orderkey % 9 AS STRING) AS callee FROM lineitem",
+    "wanted_calls": "SELECT 'f' || CAST(p_partkey AS STRING) AS file, 'c' || CAST(p_size % 9 AS STRING) AS callee FROM part",
+    "source_files": "SELECT 'r/p' || CAST(p_size % 9 AS STRING) || '/M' || CAST(p_partkey AS STRING) || '.tsx' AS file FROM part",
+    "all_files": "SELECT 'r/p' || CAST((p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END) % 9 AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '/__tests__' ELSE '' END || '/M' || CAST(p_partkey AS STRING) || CASE WHEN p_size % 2 = 0 THEN '.test.tsx' ELSE '.spec.ts' END AS file FROM part",
+    "commit_removed": "SELECT 'k' || CAST(l_orderkey AS STRING) AS commit, 'c' || CAST(l_partkey AS STRING) AS component FROM lineitem WHERE l_returnflag = 'R'",
+    "commit_added": "SELECT 'k' || CAST(l_orderkey AS STRING) AS commit, 'd' || CAST(l_suppkey % 4 AS STRING) AS component FROM lineitem WHERE l_returnflag <> 'R'",
+    "lost_props": "SELECT 'f' || CAST(l_suppkey AS STRING) AS family, 'C' || CAST(l_partkey % 20 AS STRING) AS component, 'p' || CAST(l_orderkey % 15 AS STRING) AS prop FROM lineitem WHERE l_returnflag = 'A'",
+    "child_props": "SELECT 'f' || CAST(l_suppkey AS STRING) AS family, 'C' || CAST(l_orderkey % 20 AS STRING) AS component, 'p' || CAST(l_partkey % 15 AS STRING) AS prop FROM lineitem WHERE l_returnflag = 'N'",
+    "pack_files": "SELECT 'r/p' || CAST(p_size AS STRING) || '/q' || CAST(p_partkey % 4 AS STRING) || '/f' || CAST(p_partkey AS STRING) || '.ts' AS file FROM part",
+    "pack_dirs": "SELECT DISTINCT 'r/p' || CAST(p_size AS STRING) AS dir, 'one' || CAST(p_size AS STRING) AS package FROM part WHERE p_size % 2 = 0 UNION ALL SELECT DISTINCT 'r/p' || CAST(p_size AS STRING) || '/q1' AS dir, 'two' || CAST(p_size AS STRING) AS package FROM part WHERE p_size % 3 = 0",
+    "barrel_changes": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'p/index.ts' ELSE 'p/f' || CAST(o_custkey AS STRING) || '.ts' END AS file, 's' || CAST(o_custkey % 900 AS STRING) AS symbol, o_orderstatus || CAST(o_orderkey % 4 AS STRING) AS change FROM orders",
+    "moved_changes": "SELECT o_orderkey AS id, 'c' || CAST(o_custkey % 50 AS STRING) AS component, CASE WHEN o_custkey % 3 = 0 THEN 'p' || CAST(o_custkey % 7 AS STRING) END AS prop, CASE o_orderkey % 3 WHEN 0 THEN 'relocated' WHEN 1 THEN 'removed' ELSE 'changed' END AS change FROM orders",
+    "replacements": "SELECT DISTINCT 'c' || CAST(s_suppkey % 30 AS STRING) AS old, 'n' || CAST(s_suppkey % 30 AS STRING) AS new FROM supplier",
+    "helpers": "SELECT 'h' || CAST(s_suppkey AS STRING) AS function FROM supplier WHERE s_acctbal > 0",
+    "bindings": "SELECT DISTINCT 'C' || CAST(l_partkey AS STRING) AS component, 'a' || CAST(l_linenumber AS STRING) AS attribute, 'h' || CAST(l_suppkey AS STRING) AS generator FROM lineitem",
+    "own_props": "SELECT CAST(o_orderkey AS STRING) AS interface, 'p' || CAST(o_custkey % 9 AS STRING) AS prop FROM orders",
+    "sigs": "SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'a:string:r' WHEN 1 THEN 'a:string:r,b:number:o' WHEN 2 THEN '' WHEN 3 THEN 'a:string:r,b:number:r,c:Foo:o' ELSE 'x:Foo:o,rest:any:v' END AS old_sig, CASE p_partkey % 5 WHEN 0 THEN 'a:string:o' WHEN 1 THEN 'a:Bar:r,b:number:r' WHEN 2 THEN 'a:string:r,q:number:o,c:Foo:o,d:Foo:o' WHEN 3 THEN 'z:string:r,rest:any:v' ELSE '' END AS new_sig FROM part",
+    "texts": "SELECT p_partkey AS id, CASE p_size % 7 WHEN 0 THEN 'menuToggleItem' WHEN 1 THEN 'MenuToggle' WHEN 2 THEN 'menu-toggle-item' WHEN 3 THEN 'pf-v5-c-menu' WHEN 4 THEN 'c_button_Color' WHEN 5 THEN 'Some  Text, here!' ELSE 'global_SIZE_SM' END AS s, CASE p_partkey % 4 WHEN 0 THEN 'Map<string, Foo<Bar>> | null' WHEN 1 THEN '''a'' | ''b'' | Foo' WHEN 2 THEN '(name: string, age: number) => FooBar' ELSE 'string' END AS t FROM part",
+    "functions_old": "SELECT 'f' || CAST(p_size AS STRING) AS file, 'n' || CAST(p_partkey AS STRING) AS name, 'a ' || CAST(p_size % 3 AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN ' // note' ELSE '' END AS body FROM part WHERE p_partkey % 11 <> 0",
+    "functions_new": "SELECT 'f' || CAST(p_size AS STRING) AS file, 'n' || CAST(p_partkey AS STRING) AS name, '  a ' || CAST(p_partkey % 3 AS STRING) || ' ' AS body FROM part WHERE p_partkey % 13 <> 0",
+    "behaviours": "SELECT 's' || CAST(o_custkey AS STRING) AS symbol, o_orderkey AS seq, o_orderpriority AS description FROM orders",
+    "conditions": "SELECT 'r' || CAST(o_orderkey AS STRING) AS rule_id, 'c' || CAST(o_custkey AS STRING) AS condition, o_orderstatus AS label, o_orderkey % 9 = 0 AS has_codemod FROM orders",
+    "symbol_changes": "SELECT 'f' || CAST(o_custkey AS STRING) AS file, 's' || CAST(o_orderkey AS STRING) AS symbol, o_orderstatus AS change, o_orderkey % 2 = 0 AS is_breaking FROM orders",
 }
 
 
