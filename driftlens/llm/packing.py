@@ -17,7 +17,7 @@ from .tokenize import Encoder, default_path
 
 #: Pieces that one problem, and so one task, holds on average.
 BLOCK = 12_000
-ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 4, 5, 2
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 4, 12, 2
 #: Bins filled less than this are packed again across blocks.
 LOOSE = 0.995
 _ENCODERS: dict[str, Encoder] = {}
@@ -126,19 +126,20 @@ def mutate(lengths: np.ndarray, a: np.ndarray, size: int, rng: np.random.Generat
 
 
 def evolve(lengths: np.ndarray, population: list[np.ndarray], size: int, generations: int, seed: list[int]) -> list[np.ndarray]:
-    """Steady-state evolution; stops where the least possible number of bins is reached. Best first."""
+    """Steady-state evolution; stops where the least possible number of bins is reached. Best first.
+
+    A new population is of items put to their best bins in random orders, so
+    that what is good about a grouping comes of crossing, not of its start.
+    """
     rng, score = np.random.default_rng(seed), lambda p: fitness(lengths, p, size)
     bound = -(-int(lengths.sum()) // size)
     while len(population) < POPULATION:
-        if not population:
-            population = [best_fit(lengths, np.full(len(lengths), -1), np.arange(len(lengths)), size)]
-        else:
-            population = [*population, mutate(lengths, population[0], size, rng)]
-    population = sorted(population, key=score, reverse=True)
+        population = [*population, best_fit(lengths, np.full(len(lengths), -1), rng.permutation(len(lengths)), size)]
+    population = sorted(population, key=score, reverse=True)[: POPULATION + 2]
     for _ in range(generations):
         if -score(population[0])[0] == bound:
             break
-        i, j = sorted(rng.choice(len(population), 2, replace=False).tolist())
+        i, j = rng.choice(len(population), 2, replace=False).tolist()
         child = cross(lengths, population[i], population[j], size, rng)
         if rng.random() < 0.5:
             child = mutate(lengths, child, size, rng)
@@ -153,6 +154,9 @@ def _island(size: int, epoch: int, seed: int):
         items = f[f["item"].notna()].sort_values(["length", "item"], ascending=[False, True])
         guests = [np.frombuffer(g, np.int32).astype(np.int64) for g in f["grouping"].dropna()]
         lengths = items["length"].to_numpy(np.int64)
+        if epoch == EPOCHS - 1:  # a last immigrant where crossing hasn't solved it: no block ends worse than longest-first
+            guests.append(best_fit(lengths, np.full(len(lengths), -1), np.arange(len(lengths)), size))
+            guests.sort(key=lambda g: fitness(lengths, g, size), reverse=True)
         got = evolve(lengths, guests, size, GENERATIONS, [seed, epoch, block, island])
         bins, unevenness = fitness(lengths, got[0], size)
         return pd.DataFrame(
@@ -176,7 +180,8 @@ def pack_items(items: DataFrame, size: int, seed: int = 5) -> DataFrame:
 
     Items are hashed to blocks of about ``BLOCK``. ``ISLANDS`` populations of
     groupings per block evolve apart for an epoch; then each takes in the best
-    grouping of its neighbour, by way of a written table, and goes on.
+    grouping of its neighbour, by way of a written table, and goes on. In the
+    last epoch best fit from the longest on joins as one more parent.
     """
     blocks = max(1, round(items.count() / BLOCK))
     placed = written(items.select("item", "length", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(blocks)).alias("block")), "items")

@@ -363,6 +363,18 @@ def test_crossover_keeps_every_item_once():
     assert np.bincount(child, weights=lengths).max() <= 2048
 
 
+def test_crossing_improves_on_its_parents_and_on_longest_first():
+    rng = np.random.default_rng(1)
+    bins = lambda p: len(set(p.tolist()))
+    for draw, better in ((lambda n: np.clip(rng.lognormal(5.5, 1.0, n).astype(int) + 1, 1, 2047), 0), (lambda n: rng.integers(520, 860, n), 1)):
+        lengths = np.sort(draw(4000))[::-1].astype(np.int64)
+        start = packing.evolve(lengths, [], 2048, 0, [1])
+        end = packing.evolve(lengths, start, 2048, 24, [1])
+        decreasing = packing.best_fit(lengths, np.full(len(lengths), -1), np.arange(len(lengths)), 2048)
+        assert bins(end[0]) < bins(start[0]) and bins(end[0]) <= bins(decreasing) - better
+        assert np.bincount(end[0], weights=lengths).max() <= 2048
+
+
 def test_mix_comes_near_its_targets(spark):
     rng = random.Random(6)
     docs = spark.createDataFrame([(i, "w " * rng.choice([3, 40, 90, 700]), "abc"[i % 3]) for i in range(240)], "doc_id long, text string, source string")
