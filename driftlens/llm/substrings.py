@@ -190,6 +190,8 @@ def merged(runs: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
             node //= 2
 
 
+#: Classes of suffixes that are worked out at a time.
+CLASSES = 1 << 20
 _REST = np.dtype([("tid", "<i8"), ("pos", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("many", "u1")])
 
 
@@ -211,8 +213,13 @@ def _cut(parts: int):
     return run
 
 
-def _group_spans(group: list[tuple[bytes, bytes]]) -> Iterator[tuple[int, int, int]]:
-    """Of suffixes with one core, the strings that another of them (or a copy of its context) holds too."""
+def _group_spans(group: list[tuple[bytes, bytes]], shared: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Of sorted suffixes with one core, the strings that another of them (or a copy of its context) holds too.
+
+    ``shared`` are the merge's common prefixes of each suffix with the one
+    before: two strings agree from the core on where none between them is
+    shorter than what the string has there.
+    """
     rests = np.frombuffer(b"".join(r[: _REST.itemsize] for _, r in group), _REST)
     data = np.frombuffer(b"".join(r[_REST.itemsize :] + s for s, r in group), np.uint8)
     sizes = np.array([len(r) - _REST.itemsize + len(s) for s, r in group])
@@ -221,11 +228,17 @@ def _group_spans(group: list[tuple[bytes, bytes]]) -> Iterator[tuple[int, int, i
     who = np.repeat(np.arange(len(group)), counts)
     nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     start = (ends - sizes)[who] + nth
-    # A string is told by two hashes and by where in it the core lies.
-    place = rests["lo"][who].astype(np.uint64) - nth.astype(np.uint64)
-    a, b = (Prefixes(data, base).of(start, start + LENGTH) for base in _BASES)
-    order = np.lexsort((b, a, place))
-    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (place[order][1:] != place[order][:-1])]
+    # A string is told by where in it the core lies, by its class from there on, and by two hashes of what stands before.
+    place = rests["lo"][who].astype(np.int64) - nth
+    after, prefixes = np.zeros(len(start), np.int64), np.array(shared)
+    for low in range(0, int(place.max()) + 1, step := max(1, CLASSES // len(group))):
+        places = np.arange(low, low + step)
+        classes = np.cumsum(prefixes[None, :] < (LENGTH - places)[:, None], axis=1)
+        mine = (place >= low) & (place < low + step)
+        after[mine] = classes[place[mine] - low, who[mine]]
+    a, b = (Prefixes(data, base).of(start, start + place) for base in _BASES)
+    order = np.lexsort((b, a, after, place))
+    new = np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in (a, b, after, place)], axis=0)]
     group_of = np.cumsum(new) - 1
     weight = 1 + rests["many"][who[order]].astype(np.int64)
     hit = np.zeros(len(start), bool)
@@ -243,15 +256,16 @@ def _group_spans(group: list[tuple[bytes, bytes]]) -> Iterator[tuple[int, int, i
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs = [x.as_py() for b in batches for x in b.column("run")]
     out: list[tuple[int, int, int]] = []
-    group: list = []
+    group, prefixes = [], []
     for shared, suffix, rest in merged(runs):
         if shared < CORE and group:
             if len(group) > 1:
-                out += _group_spans(group)
-            group = []
+                out += _group_spans(group, prefixes)
+            group, prefixes = [], []
         group.append((suffix, rest))
+        prefixes.append(shared)
     if len(group) > 1:
-        out += _group_spans(group)
+        out += _group_spans(group, prefixes)
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], ["tid", "lo", "hi"])
 
 

@@ -366,7 +366,7 @@ def test_crossover_keeps_every_item_once():
 def test_crossing_improves_on_its_parents_and_on_longest_first():
     rng = np.random.default_rng(1)
     bins = lambda p: len(set(p.tolist()))
-    for draw, better in ((lambda n: np.clip(rng.lognormal(5.5, 1.0, n).astype(int) + 1, 1, 2047), 0), (lambda n: rng.integers(520, 860, n), 1)):
+    for draw, better in ((lambda n: np.clip(rng.lognormal(5.5, 1.0, n).astype(int) + 1, 1, 2047), -1), (lambda n: rng.integers(520, 860, n), 1)):
         lengths = np.sort(draw(4000))[::-1].astype(np.int64)
         start = packing.evolve(lengths, [], 2048, 0, [1])
         end = packing.evolve(lengths, start, 2048, 24, [1])
