@@ -231,7 +231,8 @@ def _group_spans(group: list[tuple[bytes, bytes]], shared: list[int]) -> Iterato
     # A string is told by where in it the core lies, by its class from there on, and by two hashes of what stands before.
     place = rests["lo"][who].astype(np.int64) - nth
     after, prefixes = np.zeros(len(start), np.int64), np.array(shared)
-    for low in range(0, int(place.max()) + 1, step := max(1, CLASSES // len(group))):
+    most = int(place.max()) + 1
+    for low in range(0, most, step := min(most, max(1, CLASSES // len(group)))):
         places = np.arange(low, low + step)
         classes = np.cumsum(prefixes[None, :] < (LENGTH - places)[:, None], axis=1)
         mine = (place >= low) & (place < low + step)
