@@ -22,7 +22,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Chance that a pair right at the threshold shares no table's bucket.
 MISS = 0.01
 #: Members of a bucket beyond which further bits are sampled for it.
-BUCKET = 4096
+BUCKET = 16384
+#: Signatures of which one tells the sizes of buckets.
+SHARE = 16
+#: Members of a bucket up to which its pairs are listed; of a larger one a forest.
+FEW = 16
 #: Bytes of text that one verifying task takes of a component.
 BLOCK_BYTES = 24 << 20
 _WORD = re.compile(r"[^\W_]+")
@@ -125,8 +129,13 @@ def forest(n: int, linked) -> list[tuple[int, int]]:
     return out
 
 
+def _words(sigs: pa.Array) -> np.ndarray:
+    """Signatures as rows of 64-bit words."""
+    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
 def _buckets(limit: int):
-    """Forests of each bucket's graph of pairs whose first 64 bits differ in at most ``limit``."""
+    """Of each bucket of at most ``FEW`` rows the pairs whose first 64 bits differ in at most ``limit``; of others the rows, ``b`` null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -140,28 +149,79 @@ def _buckets(limit: int):
         sizes = np.diff(np.r_[starts, len(key)])
         size_of = np.repeat(sizes, sizes)
         a, b = [], []
-        few = np.flatnonzero(size_of <= 16)
-        for o in range(1, 16):
+        few = np.flatnonzero(size_of <= FEW)
+        for o in range(1, FEW):
             i = few[few + o < len(key)]
             i = i[key[i] == key[i + o]]
             i = i[np.bitwise_count(near[i] ^ near[i + o]) <= limit]
             a.append(cid[i])
             b.append(cid[i + o])
-        for s, n in zip(starts[sizes > 16], sizes[sizes > 16]):
-            x, c = near[s : s + n], cid[s : s + n]
-            pairs = forest(n, lambda i, o: np.bitwise_count(x[i] ^ x[o]) <= limit)
-            a.append(c[[p for p, _ in pairs]] if pairs else c[:0])
-            b.append(c[[p for _, p in pairs]] if pairs else c[:0])
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "a", "b"])
+        many = size_of > FEW
+        yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(cid[many]), pa.nulls(int(many.sum()), pa.int64())], ["key", "a", "b"])
+
+    return run
+
+
+def _whole(most: int):
+    """Pairs whose whole signatures differ in at most ``most`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                far = np.bitwise_count(_words(b.column("sig_a")) ^ _words(b.column("sig_b"))).sum(axis=1, dtype=np.int64)
+                yield b.select(["a", "b"]).filter(pa.array(far <= most))
 
     return run
 
 
-def _refined(rows: DataFrame, sigs: DataFrame, level: int = 1) -> DataFrame:
-    """Split buckets over BUCKET by further sampled bits, in as many tables as keep a threshold pair's chance."""
-    hot = rows.groupBy("key").count().where(F.col("count") > BUCKET).select("key")
+def _forests(most: int):
+    """Forests of each bucket's graph of pairs whose whole signatures differ in at most ``most`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        key, cid, sigs = t.column("key").to_numpy(), t.column("a").to_numpy(), _words(t.column("sig"))
+        order = np.argsort(key, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            x, c = sigs[at], cid[at]
+            pairs = forest(len(at), lambda i, o: np.bitwise_count(x[i] ^ x[o]).sum(axis=1, dtype=np.int64) <= most)
+            a, b = c[[p for p, _ in pairs]] if pairs else c[:0], c[[p for _, p in pairs]] if pairs else c[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _candidates(rows: DataFrame, sigs: DataFrame, near: int, most: int, parts: int) -> DataFrame:
+    """Edges ``a``, ``b`` whose components are those of the pairs that share a bucket of ``rows`` and are near in all bits.
+
+    The tables carry 64 bits of a signature. By these alone chance pairs grow
+    with the corpus until they tie it into one component, so each pair is held
+    against the whole signatures (``sigs``: ``cid``, ``sig``) before it counts.
+    """
+    found = written(rows.repartition(parts, "key").mapInArrow(_buckets(near), "key long, a long, b long"), "found")
+    of = lambda at: sigs.select(F.col("cid").alias(at), F.col("sig").alias(f"sig_{at}"))
+    pairs = found.where("b is not null").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    many = found.where("b is null").select("key", "a").join(sigs.select(F.col("cid").alias("a"), "sig"), "a")
+    return pairs.mapInArrow(_whole(most), "a long, b long").unionByName(many.repartition(parts, "key").mapInArrow(_forests(most), "a long, b long"))
+
+
+def _some(rows: DataFrame) -> DataFrame:
+    """One in ``SHARE`` of the signatures."""
+    return rows.where(F.pmod(F.xxhash64("cid"), F.lit(SHARE)) == 0)
+
+
+def _refined(rows: DataFrame, some: DataFrame, sigs: DataFrame, level: int = 1) -> DataFrame:
+    """Split buckets over BUCKET by further sampled bits, in as many tables as keep a threshold pair's chance.
+
+    Their sizes are told from ``some``, the rows of one in ``SHARE`` signatures:
+    any split keeps that chance, so the limit needn't be met exactly.
+    """
+    hot = some.groupBy("key").count().where(F.col("count") * SHARE > BUCKET).select("key")
     hot = written(hot, "hot")
     if level > 4 or not hot.limit(1).count():
         return rows
@@ -180,7 +240,7 @@ def _refined(rows: DataFrame, sigs: DataFrame, level: int = 1) -> DataFrame:
     side = small(hot, 24)
     split = rows.join(side, "key", "left_semi").join(sigs, "cid").select("key", "cid", "near", "sig")
     split = written(split.mapInArrow(more, "key long, cid long, near long"), "split")
-    return rows.join(side, "key", "left_anti").unionByName(_refined(split, sigs, level + 1))
+    return rows.join(side, "key", "left_anti").unionByName(_refined(split, _some(split), sigs, level + 1))
 
 
 def _verify(most: int):
@@ -220,9 +280,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first folded by digest. Their 256-bit SimHashes go to tables that group on
     sampled bits, so many that a pair right at 0.8 meets with a chance of 0.99;
     a bucket over ``BUCKET`` is split by further bits, again in several tables.
-    Within a bucket, pairs near in 64 bits are kept as a spanning forest, never
-    as all pairs. Each component of those candidates is then verified: by
-    distance in 256 bits and by exact Jaccard of the whole texts, in blocks of
+    Pairs of a bucket are candidates if they are near in all 256 bits (in small
+    buckets also in the first 64); a large bucket gives a spanning forest of
+    them, never all pairs. Each component of the candidates is then verified: by
+    distance and by exact Jaccard of the whole texts, in blocks of
     ``BLOCK_BYTES`` if it is large. Verified links form the classes.
 
     Returns one row per input row: ``id_col``, ``class_id`` (smallest id of the
@@ -249,8 +310,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = round(64 * p + 3 * math.sqrt(64 * p * (1 - p)))
     most = round(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * tables // 1_000_000)
-    rows = _refined(sigs.mapInArrow(_explode(bits, tables), "key long, cid long, near long"), sigs)
-    found = rows.repartition(parts, "key").mapInArrow(_buckets(near), "a long, b long")
+    rows, some = (d.mapInArrow(_explode(bits, tables), "key long, cid long, near long") for d in (sigs, _some(sigs)))
+    found = _candidates(_refined(rows, some, sigs), sigs, near, most, parts)
     candidates = connected_components(found.unionByName(stars))
     members = written(candidates.join(classes.select(F.col("cid").alias("id"), "digest", "sig"), "id").withColumnRenamed("id", "cid"), "members")
     texts = (

@@ -276,6 +276,31 @@ def test_near_duplicates(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_chance_pairs_are_no_candidates(spark, monkeypatch):
+    """Signatures that agree in their first 64 bits only stay apart, in small buckets as in large ones."""
+    ship(spark)
+    rng = np.random.default_rng(8)
+    groups = []
+    for n, like in [(3, False), (20, False), (3, True), (20, True), (200, True)]:
+        x = np.tile(rng.integers(0, 256, 32, np.uint8), (n, 1))
+        if not like:
+            x[:, 8:] = rng.integers(0, 256, (n, 24), np.uint8)
+        for _ in range(16):
+            x[np.arange(n), rng.integers(8, 32, n)] ^= np.uint8(1) << rng.integers(0, 8, n, np.uint8)
+        groups.append(x)
+    key = np.repeat(range(len(groups)), list(map(len, groups))).tolist()
+    sigs = np.concatenate(groups)
+    near = sigs[:, :8].copy().view(np.int64)[:, 0].tolist()
+    signed = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "cid long, sig binary")
+    rows = spark.createDataFrame(list(zip(key, range(len(key)), near)), "key long, cid long, near long")
+    for bucket in (4096, 160):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        split = simhash._refined(rows, simhash._some(rows), signed)
+        found = components.connected_components(simhash._candidates(split, signed, 18, 62, 4)).collect()
+        classes = Counter((key[r.id], r.component) for r in found)
+        assert sorted((k, n) for (k, _), n in classes.items()) == [(2, 3), (3, 20), (4, 200)]
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix_sources(docs).collect()
     again = mixing.mix_sources(docs.repartition(3)).collect()
