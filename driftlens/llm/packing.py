@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, written
+from .shared import release, trimmed, written
 from .tokenize import Encoder, default_path
 
 #: Pieces that one problem, and so one task, holds on average.
 BLOCK = 12_000
+#: Texts whose ids a worker holds at once.
+ROWS = 1000
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 4, 12, 2
 #: Bins filled less than this are packed again across blocks.
 LOOSE = 0.995
@@ -35,7 +37,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, size: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             which, piece, start, length, crc = [], [], [], [], []
             for k, ids in enumerate(enc.encode([t or "" for t in b.column("text").to_pylist()])):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -52,7 +54,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, size: int
             )
 
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(trimmed(run), f"id {dict(df.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:

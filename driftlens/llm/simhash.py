@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bitmap_filter, release, salted, small, spread, written
+from .shared import bitmap_filter, release, salted, small, spread, trimmed, written
 
 BITS = 256
 #: Words to a shingle, and the least Jaccard similarity of shingle sets.
@@ -29,13 +29,15 @@ SHARE = 16
 FEW = 16
 #: Bytes of text that one verifying task takes of a component.
 BLOCK_BYTES = 24 << 20
+#: Words whose hashes a worker remembers.
+WORDS = 100_000
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -77,9 +79,9 @@ def simhash(hashes: np.ndarray) -> bytes:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_hashes(t.as_py()) for t in b.column("text")]
+        signed = [(simhash(s), len(s)) for s in (shingle_hashes(t.as_py()) for t in b.column("text"))]
         yield pa.RecordBatch.from_arrays(
-            [b.column("id"), b.column("digest"), pa.array([simhash(s) for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64())],
+            [b.column("id"), b.column("digest"), pa.array([s for s, _ in signed], pa.binary()), pa.array([n for _, n in signed], pa.int64())],
             ["id", "digest", "sig", "n"],
         )
 
@@ -203,7 +205,7 @@ def _candidates(rows: DataFrame, sigs: DataFrame, near: int, most: int, parts: i
     with the corpus until they tie it into one component, so each pair is held
     against the whole signatures (``sigs``: ``cid``, ``sig``) before it counts.
     """
-    found = written(rows.repartition(parts, "key").mapInArrow(_buckets(near), "key long, a long, b long"), "found")
+    found = written(rows.repartition(parts, "key").mapInArrow(trimmed(_buckets(near)), "key long, a long, b long"), "found")
     of = lambda at: sigs.select(F.col("cid").alias(at), F.col("sig").alias(f"sig_{at}"))
     pairs = found.where("b is not null").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
     many = found.where("b is null").select("key", "a").join(sigs.select(F.col("cid").alias("a"), "sig"), "a")
@@ -296,7 +298,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("digest"), text.alias("text"))
     id_type = dict(df.dtypes)[id_col]
     base = written(
-        source.mapInArrow(_sign, f"id {id_type}, digest binary, sig binary, n long").withColumn("row", F.monotonically_increasing_id()), "signed"
+        source.mapInArrow(trimmed(_sign), f"id {id_type}, digest binary, sig binary, n long").withColumn("row", F.monotonically_increasing_id()), "signed"
     )
     classes = written(base.groupBy("digest").agg(F.min("row").alias("cid"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
     # Texts of one signature are one candidate: a forest of stars, whatever their number.

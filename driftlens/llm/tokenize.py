@@ -12,6 +12,8 @@ import numpy as np
 _CONTRACTION = re.compile(r"'(?:[stmd]|re|ve|ll)")
 #: Texts with characters beyond this go to the tokenizer itself, whose Unicode tables may differ.
 PLAIN = 0x250
+#: Characters that are cut at once; each takes some 70 bytes meanwhile.
+BULK = 400_000
 LETTER, DIGIT, OTHER, SPACE, EDGE = range(5)
 
 
@@ -89,7 +91,7 @@ class Encoder:
         at = 0
         while at < len(fast):
             end, held = at, 0
-            while end < len(fast) and (end == at or held + len(texts[fast[end]]) < 2_000_000):
+            while end < len(fast) and (end == at or held + len(texts[fast[end]]) < BULK):
                 held += len(texts[fast[end]])
                 end += 1
             for i, ids in zip(fast[at:end], self._bulk([texts[i] for i in fast[at:end]])):

@@ -12,13 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, written
+from .shared import release, trim, trimmed, written
 
 #: At most so many labelled documents, those of lowest hashed id, train the chain.
 SAMPLE = 12_000
 #: Features that each category's model looks at: those of highest chi-squared, of so many candidates.
 VOCABULARY, CANDIDATES = 256, 6000
 FOLDS = 5
+#: Rows whose features are listed at once: a text shows up to a hundred thousand.
+ROWS = 16
+#: Words whose roots a worker remembers.
+WORDS = 300_000
 #: A feature is a word or a word's beginning (``^`` and its letters), at least so often in a text.
 PREFIXES, LEVELS = range(3, 9), (1, 2, 4)
 _WORD = re.compile(r"[^\W_]+")
@@ -38,16 +42,16 @@ def features(text: str | None, of=roots) -> set[str]:
 
 
 class Known(dict):
-    """The roots of a word that a model knows, remembered for up to a million words."""
+    """The roots of a word that a model knows, remembered for up to ``WORDS`` words."""
 
     def __init__(self, names):
         super().__init__()
         self.names = {n.partition("#")[0] for n in names}
 
-    def __missing__(self, word: str) -> list[str]:
-        if len(self) > 1_000_000:
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= WORDS:
             self.clear()
-        out = self[word] = [r for r in roots(word) if r in self.names]
+        out = self[word] = tuple(r for r in roots(word) if r in self.names)
         return out
 
 
@@ -80,7 +84,10 @@ def _fit(x: np.ndarray, y: np.ndarray, l2: float = 0.3) -> np.ndarray:
     ridge[-1] = 1e-6
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
+        h = np.diag(ridge)
+        for at in range(0, len(x), 1024):  # copies of few rows at a time
+            part, q = x[at : at + 1024], p[at : at + 1024]
+            h += (part * (q * (1 - q) + 1e-9)[:, None]).T @ part
         step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
@@ -104,6 +111,15 @@ def _apart(best: list[tuple[str, float, int, int]]) -> list[str]:
     return out[:VOCABULARY]
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, ``text``, as its features ``w``; few rows at a time, whatever comes in."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            c = b.slice(at, ROWS)
+            w = pa.array([sorted(features(t)) for t in c.column("text").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*c.columns[:-1], w], [*c.schema.names[:-1], "w"])
+
+
 def fit_chain(
     docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE
 ) -> Chain:
@@ -126,14 +142,10 @@ def fit_chain(
     )
     ys = [f"y{i}" for i in range(len(categories))]
 
-    def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(w=[sorted(features(t)) for t in f.pop("text")])
-
     # One text per id, however often the id repeats: what is collected below is at most ``sample`` rows.
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
-    picked = picked.groupBy("__id", *ys).agg(F.min("text").alias("text")).select("__id", "text", *ys)
-    rows = picked.mapInPandas(tokens, f"__id {dict(docs.dtypes)[id_col]}, {', '.join(f'{y} int' for y in ys)}, w array<string>")
+    picked = picked.groupBy("__id", *ys).agg(F.min("text").alias("text")).select("__id", *ys, "text")
+    rows = picked.mapInArrow(trimmed(_tokens), f"__id {dict(docs.dtypes)[id_col]}, {', '.join(f'{y} int' for y in ys)}, w array<string>")
     rows = written(rows, "labelled")
     totals = rows.agg(*[f for y in ys for f in (F.count(y), F.coalesce(F.sum(y), F.lit(0)))]).first()
     counts = rows.select(F.explode("w").alias("w"), *ys).groupBy("w").agg(
@@ -150,17 +162,19 @@ def fit_chain(
         vocabularies.append(_apart([tuple(r) for r in best.collect()]))
     known = sorted({w for v in vocabularies for w in v})
     at = {w: i for i, w in enumerate(known)}
-    # At most ``sample`` rows, each with the few chosen features it has.
-    got = rows.select("__id", *ys, F.array_intersect("w", F.array(*[F.lit(w) for w in known]).cast("array<string>")).alias("w"), F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(FOLDS)).alias("fold")).collect()
+    # At most ``sample`` rows, each with the numbers of the few chosen features it has.
+    names = F.array(*[F.lit(w) for w in known]).cast("array<string>")
+    numbers = F.transform(F.array_intersect("w", names), lambda w: F.array_position(names, w).cast("int"))
+    got = rows.select(*ys, numbers.alias("w"), F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(FOLDS)).alias("fold")).toArrow()
     release(rows)
-    x = np.zeros((len(got), len(known)))
-    for i, r in enumerate(got):
-        x[i, [at[w] for w in r["w"]]] = 1
-    fold = np.array([r["fold"] for r in got], dtype=int)
+    x = np.zeros((len(got), len(known)), bool)
+    has = got.column("w").combine_chunks()
+    x[np.repeat(np.arange(len(got)), has.value_lengths().to_numpy()), has.flatten().to_numpy() - 1] = True
+    fold = got.column("fold").to_numpy().astype(int)
     chain, before = Chain(), np.zeros((len(got), 0))
     for i, category in enumerate(categories):
-        y = np.array([np.nan if r[ys[i]] is None else float(r[ys[i]] > 0) for r in got])
-        own = x[:, [at[w] for w in vocabularies[i]]]
+        y = np.array([np.nan if v is None else float(v > 0) for v in got.column(ys[i]).to_pylist()])
+        own = x[:, [at[w] for w in vocabularies[i]]].astype(float)
         z, has = _with_bias(own, before) if len(got) else np.zeros((0, 1)), ~np.isnan(y)
         rate = float(y[has].mean()) if has.any() else 0.0
 
@@ -178,6 +192,8 @@ def fit_chain(
         v = len(vocabularies[i])
         chain.links.append(Link(category, dict(zip(vocabularies[i], w[:v].tolist())), w[v:-1].tolist(), float(w[-1])))
         before = np.column_stack([before, oof])
+        del own, z
+        trim()
     return chain
 
 
@@ -206,7 +222,7 @@ def keep(docs: DataFrame, chain: Chain, target: str, threshold: float = 0.5, tex
             ok = [chain.predict(features(t, known.__getitem__))[at] < threshold for t in b.column(text_col).to_pylist()]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return docs.mapInArrow(trimmed(apply), docs.schema)
 
 
 def flag_toxic(

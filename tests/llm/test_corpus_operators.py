@@ -3,10 +3,12 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -432,6 +434,30 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages.limit(0), no_rules).count() == 0
 
 
+def test_workers_hold_little_at_once():
+    """A batch's features, and its pieces of text, are not all in memory together."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(800)) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], ["__id", "text"])
+    tracemalloc.start()
+    try:
+        n = 0
+        for b in toxicity._tokens(iter([batch])):
+            assert b.schema.names == ["__id", "w"] and b.num_rows <= toxicity.ROWS
+            assert b.column("w")[0].as_py() == sorted(toxicity.features(texts[n]))
+            n += b.num_rows
+        assert n == 300 and tracemalloc.get_traced_memory()[1] < 20e6
+        for t in texts:
+            simhash.shingle_hashes(t)
+        assert len(simhash._HASHES) <= simhash.WORDS < 800 * len(texts)
+        enc = packing.encoder(tokenize.default_path())
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        enc.encode(["some plain words again and again " * 100] * 1000)
+        assert tracemalloc.get_traced_memory()[1] - before < 60e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_toxicity_held_out(spark):
     ship(spark)
     rng = random.Random(3)
