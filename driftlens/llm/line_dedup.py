@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bitmap_filter, release, spread, written
+from .shared import bitmap_filter, release, settled, spread, written
 
 #: Characters to a shingle and least Jaccard similarity.
 SHINGLE, SIMILARITY = 8, 0.8
@@ -100,7 +100,7 @@ def _pairs(banded: DataFrame, level: int = 0) -> DataFrame:
     left after as many levels as there are minima is of lines that share all
     but a few: each is paired with the first, for ``_crossing`` to go on from.
     """
-    seen = written(
+    seen = settled(
         banded.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.count("*").alias("n")).where("n > 1"), "buckets"
     )
     twos = seen.where("n = 2").select("a", "b").where("a <> b")
@@ -108,7 +108,7 @@ def _pairs(banded: DataFrame, level: int = 0) -> DataFrame:
     if not more.limit(1).count():
         return twos
     members = bitmap_filter(banded, "key", more.select("key"), "may").where("may").drop("may")
-    members = written(members.join(more, "key"), "members")
+    members = settled(members.join(more, "key"), "members")
     out = twos.unionByName(_within(members.where(F.col("n") <= BUCKET).select("key", "cid")))
     many = members.where(F.col("n") > BUCKET)
     if not many.limit(1).count():
@@ -143,7 +143,7 @@ def _crossing(judged: DataFrame, comps: DataFrame, similarity: float = SIMILARIT
     heads = judged.select(F.col("a").alias("cid")).unionByName(judged.where("not star").select(F.col("b").alias("cid"))).distinct()
     members = stars.unionByName(heads.select(F.col("cid").alias("head"), "cid", F.lit(0.0).alias("d")))
     members = members.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("c", F.coalesce("component", "cid")).drop("component")
-    members = written(members, "members")
+    members = settled(members, "members")
     spans = members.groupBy("head").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("d").alias("most"), F.count("*").alias("n"))
     side = lambda d, at, more: d.select(F.col("head").alias(at), *[F.col(c).alias(f"{c}_{at}") for c in more])
     groups = judged.where("not star").select("a", "b", "d").unionByName(spans.where("n > 1").select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(0.0).alias("d")))
@@ -198,26 +198,26 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     exploded = line_rows(source, "text").select("id", "line_no", normal_line(F.col("line")).alias("line"))
     keyed = exploded.withColumn("digest", F.when(F.col("line") != "", F.unhex(F.md5(F.encode("line", "UTF-8")))))
     lines = written(keyed.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("row")), "lines")
-    ids = written(lines.where("digest is not null").groupBy("digest").agg(F.min("row").alias("cid"), F.count("*").alias("n")), "distinct")
+    ids = settled(lines.where("digest is not null").groupBy("digest").agg(F.min("row").alias("cid"), F.count("*").alias("n")), "distinct")
     # A few rows besides pass the filter; they are the same lines again and drop out when texts are joined.
     distinct = bitmap_filter(lines.where("digest is not null").select("row", "line", "h"), "h", ids.select(F.xxhash64("cid").alias("h")), "may").where("may")
     narrow = F.array(*[F.col(f"m{k}").cast("int") for k in range(MINIMA)])
     signed = signatures(distinct).select(F.col("row").alias("cid"), narrow.alias("minima"))
-    signed = written(signed.withColumn("sig", F.xxhash64("minima")).withColumn("p", _packed(F.col("minima"))), "signatures")
+    signed = settled(signed.withColumn("sig", F.xxhash64("minima")).withColumn("p", _packed(F.col("minima"))), "signatures")
     # Lines of one signature are near each other all but surely: a star stands for them, whatever their number.
     shared = written(signed.groupBy("sig").agg(F.min("cid").alias("a"), F.count("*").alias("n")).where("n > 1").select("sig", "a"), "shared")
     marked = written(spread(signed.select("sig", "cid"), shared, ["sig"], "inner").where("a <> cid").select("a", F.col("cid").alias("b")), "stars")
-    heads = written(signed.join(marked.select(F.col("b").alias("cid")), "cid", "left_anti"), "heads")
+    heads = settled(signed.join(marked.select(F.col("b").alias("cid")), "cid", "left_anti"), "heads")
     release(signed)
     keys = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.element_at("minima", k + 1) for k in band]) for b, band in enumerate(BANDS)]))
     met = _pairs(heads.select(keys.alias("key"), "cid", "minima")).distinct()
     of = lambda at: heads.select(F.col("cid").alias(at), F.col("p").alias(f"p_{at}"))
     met = met.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.lit(False).alias("star"), _agreement(F.col("p_a"), F.col("p_b")).alias("agree"))
-    pairs = written(met.where(F.col("agree") >= AGREE).unionByName(marked.select("a", "b", F.lit(True).alias("star"), F.lit(MINIMA).alias("agree"))), "pairs")
+    pairs = settled(met.where(F.col("agree") >= AGREE).unionByName(marked.select("a", "b", F.lit(True).alias("star"), F.lit(MINIMA).alias("agree"))), "pairs")
     release(heads, shared, marked)
     wanted = written(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(ids.select("cid"), "cid"), "wanted")
     some = bitmap_filter(lines.select(F.col("row").alias("cid"), "line", "h"), "h", wanted.select(F.xxhash64("cid").alias("h")), "may").where("may")
-    texts = written(some.select("cid", "line").join(wanted, "cid"), "texts")
+    texts = settled(some.select("cid", "line").join(wanted, "cid"), "texts")
     release(wanted)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -225,23 +225,23 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         text = lambda at, name: texts.select(F.col("cid").alias(at), F.col("line").alias(name))
         # Only a star's head may have very many pairs; a line is a member of one star.
         both = spread(pairs, text("a", "x"), ["a"], "inner").join(text("b", "y"), "b")
-        return written(both.select(*pairs.columns, (1 - jaccard(F.col("x"), F.col("y"))).alias("d")), "judged")
+        return settled(both.select(*pairs.columns, (1 - jaccard(F.col("x"), F.col("y"))).alias("d")), "judged")
 
     near = F.col("d") <= 1 - SIMILARITY + 1e-9
     first = verified(pairs.where(F.col("agree") >= LIKELY))
     comps = written(connected_components(first.where(near).select("a", "b")), "components")
-    rest = written(_apart(pairs.where(F.col("agree") < LIKELY), comps), "rest")
+    rest = settled(_apart(pairs.where(F.col("agree") < LIKELY), comps), "rest")
     second = verified(rest.where("far").drop("far"))
     comps = _merged(comps, second.where(near).select("a", "b"))
     none = F.lit(None).cast("double").alias("d")
     if pairs.where("star").limit(1).count():
         judged = first.unionByName(second).unionByName(rest.where("not far").drop("far").withColumn("d", none)).select("a", "b", "star", "d")
-        more = written(_crossing(judged, comps), "crossing")
+        more = settled(_crossing(judged, comps), "crossing")
         if more.limit(1).count():
             comps = _merged(comps, verified(more).where(near).select("a", "b"))
         release(more)
     release(texts, first, second, rest, pairs)
-    classed = written(ids.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("digest", "n", F.coalesce("component", "cid").alias("component")), "classed")
+    classed = settled(ids.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("digest", "n", F.coalesce("component", "cid").alias("component")), "classed")
     sizes = classed.groupBy("component").agg(F.sum("n").alias("size"))
     sized = classed.where("n > 1").select("component", "digest").unionByName(comps.join(ids, ids["cid"] == comps["id"]).select("component", "digest")).distinct()
     sized = sized.join(sizes, "component")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -71,6 +72,14 @@ def release(*frames: DataFrame) -> None:
         delete(df.sparkSession, df._driftlens_path)
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``written``, then let Spark delete the shuffle files behind it: it does so only once the driver's garbage is collected."""
+    out = written(df, label)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -26,7 +27,7 @@ from driftlens.llm import (
     url_filter,
     warc,
 )
-from driftlens.llm.shared import bitmap_filter, new_path, ship, spread
+from driftlens.llm.shared import bitmap_filter, new_path, settled, ship, spread
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -278,6 +279,20 @@ def test_near_duplicates(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_shuffles_behind_a_settled_table_go(spark):
+    """Spark keeps shuffle files until the driver's garbage is collected; ``settled`` has that done."""
+    left = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses
+    groups = lambda k: spark.range(1000).groupBy((F.col("id") % k).alias("k")).count()
+    settled(groups(3), "x")
+    time.sleep(2)
+    before = left().size()
+    for k in range(4, 9):
+        assert settled(groups(k), "x").count() == k
+    settled(groups(9), "x")
+    time.sleep(2)
+    assert left().size() <= before + 1
+
+
 def test_chance_pairs_are_no_candidates(spark, monkeypatch):
     """Signatures that agree in their first 64 bits only stay apart, in small buckets as in large ones."""
     ship(spark)
