@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import shutil
 import tempfile
 import uuid
@@ -73,11 +72,14 @@ def release(*frames: DataFrame) -> None:
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:
-    """``written``, then let Spark delete the shuffle files behind it: it does so only once the driver's garbage is collected."""
-    out = written(df, label)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    """``written``, then the shuffle files behind it deleted at once: else they stay until the driver's garbage is collected."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return written(df, label)
+    finally:
+        conf.set(key, before)
 
 
 def delete(spark: SparkSession, path: str) -> None:

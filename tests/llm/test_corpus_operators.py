@@ -199,6 +199,47 @@ def test_lines_that_fail_against_their_head_keep_their_other_links(spark, monkey
     assert sorted(r.line_no for r in line_dedup.dedup_lines(df).collect() if r.kept) == [0, 1, 3, 4]
 
 
+def test_sketches_rule_out_no_near_line(spark):
+    rng = random.Random(10)
+    base = "".join(rng.choice("abcdefghij é😀") for _ in range(400))
+    lines = [base[:n] + base[: n // 3] * r + "x" * k for n in (3, 40, 150, 400) for r in (0, 2) for k in (0, 1, 9, 60)]
+    got = line_dedup.sketches(spark.createDataFrame(list(enumerate(lines)), "cid long, line string")).collect()
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
+    words = {r.cid: [r[f"s{k}"] for k in range(line_dedup.SKETCH)] for r in got}
+    assert {r.cid: r.n for r in got} == {i: len(s) for i, s in enumerate(sets)}
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            apart = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(words[i], words[j]))
+            assert apart <= len(x ^ y) and (apart > 0 or i == j or len(x ^ y) != 1)
+
+
+def test_pairs_that_sketches_rule_out_are_not_compared(spark, monkeypatch):
+    """Lines of one family that are half alike: candidates by their minima, but no shingles of a pair are held together."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    middle = word(60)
+    df = spark.createDataFrame([(i, word(30) + middle + word(30)) for i in range(12)], "doc_id long, text string")
+    tables, real = {}, line_dedup.settled
+
+    def settled(frame, label):
+        tables[label] = real(frame, label)
+        return tables[label]
+
+    monkeypatch.setattr(line_dedup, "settled", settled)
+    monkeypatch.setattr(line_dedup, "release", lambda *frames: None)
+    assert all(r.kept for r in line_dedup.dedup_lines(df).collect())
+    judged = tables["judged"]
+    assert judged.count() > 5 and judged.where("d is not null or least <= 0.2").count() == 0
+
+
+def test_crowded_buckets_of_lines(spark, monkeypatch):
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200))
+    df = spark.createDataFrame([(i, base[: 5 * i] + "#" + base[5 * i + 1 :]) for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "CROWD", 3)
+    assert [r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.kept] == [0]
+
+
 def test_warc_round_trip(spark):
     ship(spark)
     big = "é" * 300_000
