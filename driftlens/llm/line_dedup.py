@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bitmap_filter, release, settled, spread, written
+from .shared import bitmap_filter, release, settled, small, spread, written
 
 #: Characters to a shingle and least Jaccard similarity.
 SHINGLE, SIMILARITY = 8, 0.8
@@ -123,7 +123,7 @@ def _pairs(banded: DataFrame, heads: DataFrame, level: int = 0) -> DataFrame:
         F.xxhash64("key", F.lit(k), F.element_at("minima", k + 1), F.element_at("minima", (k + 1 + level % (MINIMA - 1)) % MINIMA + 1))
         for k in range(MINIMA)
     ]
-    split = many.select("key", "cid").join(heads.select("cid", "minima"), "cid").select(F.explode(F.array(*ways)).alias("key"), "cid").distinct()
+    split = heads.select("cid", "minima").join(small(many.select("key", "cid"), 16), "cid").select(F.explode(F.array(*ways)).alias("key"), "cid").distinct()
     return out.unionByName(_pairs(split, heads, level + 1))
 
 
@@ -208,7 +208,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     signed = settled(signed.withColumn("sig", F.xxhash64("minima")).withColumn("p", _packed(F.col("minima"))), "signatures")
     # Lines of one signature are near each other all but surely: a star stands for them, whatever their number.
     shared = written(signed.groupBy("sig").agg(F.min("cid").alias("a"), F.count("*").alias("n")).where("n > 1").select("sig", "a"), "shared")
-    marked = written(spread(signed.select("sig", "cid"), shared, ["sig"], "inner").where("a <> cid").select("a", F.col("cid").alias("b")), "stars")
+    few = small(shared, 16)
+    starred = spread(signed.select("sig", "cid"), shared, ["sig"], "inner") if few is shared else signed.select("sig", "cid").join(few, "sig")
+    marked = written(starred.where("a <> cid").select("a", F.col("cid").alias("b")), "stars")
     heads = settled(signed.join(marked.select(F.col("b").alias("cid")), "cid", "left_anti"), "heads")
     release(signed)
     keys = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.element_at("minima", k + 1) for k in band]) for b, band in enumerate(BANDS)]))
@@ -217,7 +219,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     release(heads, shared, marked)
     wanted = written(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(ids.select("cid"), "cid"), "wanted")
     some = bitmap_filter(lines.select(F.col("row").alias("cid"), "line", "h"), "h", wanted.select(F.xxhash64("cid").alias("h")), "may").where("may")
-    texts = settled(some.select("cid", "line").join(wanted, "cid"), "texts")
+    texts = settled(some.select("cid", "line").join(small(wanted, 8), "cid"), "texts")
     drawn = settled(sketches(texts), "sketches")
     release(wanted)
     words = ["n", *[f"s{k}" for k in range(SKETCH)]]
@@ -249,9 +251,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             comps = _merged(comps, verified(more).where(near(F.col("d"))).select("a", "b"))
         release(more)
     release(texts, drawn, judged, pairs)
-    classed = settled(ids.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("digest", "n", F.coalesce("component", "cid").alias("component")), "classed")
+    of_line = ids.join(small(comps.withColumnRenamed("id", "cid"), 16), "cid", "left")
+    linked = F.col("component").isNotNull().alias("linked")
+    classed = settled(of_line.select("digest", "n", linked, F.coalesce("component", "cid").alias("component")), "classed")
     sizes = classed.groupBy("component").agg(F.sum("n").alias("size"))
-    sized = classed.where("n > 1").select("component", "digest").unionByName(comps.join(ids, ids["cid"] == comps["id"]).select("component", "digest")).distinct()
+    sized = classed.where("n > 1 or linked").select("component", "digest")
     sized = sized.join(sizes, "component")
     return spread(lines.select("id", "line_no", "row", "digest"), sized, ["digest"]).select(
         F.col("id").alias(id_col),
