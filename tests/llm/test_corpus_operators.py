@@ -240,6 +240,54 @@ def test_crowded_buckets_of_lines(spark, monkeypatch):
     assert [r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.kept] == [0]
 
 
+def _settled_rows(monkeypatch):
+    """Rows of the tables that line dedup writes, by label in order."""
+    rows, real = [], line_dedup.settled
+
+    def settled(frame, label):
+        out = real(frame, label)
+        rows.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "settled", settled)
+    return rows
+
+
+def test_a_large_family_of_lines_takes_few_rows_a_line(spark, monkeypatch):
+    """Lines that share most minima: no split by minima parts them, and no pairs are needed beyond those that tie them."""
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    base = word(300)
+    cut = [rng.randrange(290) for _ in range(600)]
+    df = spark.createDataFrame([(i, base[:k] + word(4) + base[k + 4 :]) for i, k in enumerate(cut)] + [(600, word(300))], "doc_id long, text string")
+    rows = _settled_rows(monkeypatch)
+    got = line_dedup.dedup_lines(df).collect()
+    assert sorted(r.doc_id for r in got if r.kept) == [0, 600] and {r.class_size for r in got} == {1, 600}
+    assert sum(n for label, n in rows if label == "members") <= 12 * 600
+    assert sum(n for label, n in rows if label in ("pairs", "rest", "crossing")) <= 30 * 600
+
+
+def test_crowded_buckets_hold_every_line_against_other_components(spark, monkeypatch):
+    """Two families of equal minima in one bucket, met by neither's first line: a link between later members joins them."""
+    rng = random.Random(14)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200))
+    # 100 shingles each; shifts by 11 are linked, by 22 not: a chain whose ends meet nobody but their neighbours.
+    order = [0, 5, 2, 7, 4, 1, 6, 3]
+    lines = [base[11 * k : 11 * k + 107] for k in order]
+    df = spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string")
+
+    def signatures(rows):
+        # Unlike in the last minimum, so none is a star's; the bands without it hold all of them.
+        return rows.select("row", *[(F.hash("line") if k == 11 else F.lit(7)).alias(f"m{k}") for k in range(12)])
+
+    monkeypatch.setattr(line_dedup, "signatures", signatures)
+    monkeypatch.setattr(line_dedup, "CROWD", 3)
+    monkeypatch.setattr(line_dedup, "CHUNK", 3)
+    rows = _settled_rows(monkeypatch)
+    assert [r.line_no for r in line_dedup.dedup_lines(df).collect() if r.kept] == [0]
+    assert dict(rows)["rest"] > 0
+
+
 def test_warc_round_trip(spark):
     ship(spark)
     big = "é" * 300_000
