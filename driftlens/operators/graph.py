@@ -1,10 +1,11 @@
-"""Graph operators: frontiers grow by joins, a level a round, each round checkpointed."""
+"""Graph operators: frontiers grow by joins, a level a round, each round a written table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import walk
 from .tables import cut, steps
 
 
@@ -54,6 +55,10 @@ def walk_up(calls: DataFrame, changed: DataFrame, functions: DataFrame, discount
     and stops at public ones, which break with the root's confidence times
     ``discount``, once, however far up. Returns root, broken, confidence, depth.
     """
+    if max_depth is None and walk.local_folder(calls):
+        hits = walk.walk_files(calls, changed, functions)
+        return hits.select("root", "broken", (F.col("confidence") * discount).alias("confidence"), "depth")
+    # Level by level: where walks have to fail beyond a depth, or workers can't map the shared folder's files.
     up = cut(calls.where("caller <> callee").distinct().join(functions.withColumnRenamed("name", "caller"), "caller"))
     front = cut(changed.select("root", F.col("root").alias("at")))
     seen, found = front, None

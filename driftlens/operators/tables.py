@@ -2,23 +2,64 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
+import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names, or, in local mode, a temporary one."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or, in local mode, a temporary one."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        where = where or tempfile.mkdtemp(prefix="driftlens-")
+        if not where:
+            where = tempfile.mkdtemp(prefix="driftlens-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
-    return df.checkpoint()
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, compressed, and read back; the shuffle files behind it are deleted at once.
+
+    A checkpoint would keep its rows as they lie in memory, and shuffle files until the driver's garbage is collected.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{folder(spark)}/cut-{uuid.uuid4().hex[:12]}", spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._driftlens_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote; later reads of them fail."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(df._driftlens_path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def few(df: DataFrame, rows: int = 100_000) -> bool:
+    """Whether ``df`` was counted to have at most ``rows``."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast of a few short columns if they were counted to be few rows."""
+    return F.broadcast(df) if few(df) else df
 
 
 def steps(most: int | None) -> Iterator[int]:

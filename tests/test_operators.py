@@ -206,3 +206,23 @@ def test_empty_tables(spark):
     assert rows(matching.greedy_assignment(pairs)) == []
     edges = spark.createDataFrame([], "src long, dst long")
     assert rows(graph.reachable(edges, spark.createDataFrame([], "node long"))) == []
+
+
+def test_walks_over_files_equal_walks_by_levels(spark, monkeypatch):
+    import random
+
+    from driftlens.operators import walk
+
+    r, n = random.Random(7), 120
+    calls = spark.createDataFrame([(f"f{r.randrange(n)}", f"f{r.randrange(n)}é") if i % 9 == 0 else (f"f{r.randrange(n)}", f"f{r.randrange(n)}") for i in range(400)] * 2, "caller string, callee string")
+    functions = spark.createDataFrame([(f"f{i}", i % 3 == 0) for i in range(n - 10)] + [("f1", True), ("f2", None)], "name string, is_public boolean")
+    changed = spark.createDataFrame([(f"f{i}", i / 100) for i in range(0, n, 2)] + [("f2", 0.5), ("f3é", 0.5), ("nowhere", 1.0)], "root string, confidence double")
+    by_levels = rows(graph.walk_up(calls, changed, functions, max_depth=1000))
+    assert len(by_levels) > 500
+    for pairs, chunk, batch in ((1 << 22, 1 << 18, 1 << 17), (50, 16, 7)):
+        monkeypatch.setattr(walk, "PAIRS", pairs)
+        monkeypatch.setattr(walk, "CHUNK", chunk)
+        monkeypatch.setattr(walk, "BATCH", batch)
+        assert rows(graph.walk_up(calls, changed, functions)) == by_levels
+    none = changed.limit(0)
+    assert rows(graph.walk_up(calls, none, functions)) == [] == rows(graph.walk_up(calls.limit(0), changed, functions))
