@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .tables import cut, steps
+from .tables import cut, few, release, steps
 
 
 def importers(imports: DataFrame, targets: DataFrame) -> DataFrame:
@@ -94,15 +94,30 @@ def managed_attributes(changed: DataFrame, bindings: DataFrame) -> DataFrame:
 def inherited_props(props: DataFrame, extends: DataFrame) -> DataFrame:
     """Own and inherited props: ``interface``, ``prop``, through all levels of ``extends`` (child, parent).
 
-    Each round doubles the reach of the links, until none is new.
+    Each round a node takes what the nodes at the end of its links know, then
+    links to where theirs end: after k rounds it knows all within 2^k levels,
+    and links only to what is just that far. Links end at the top or, on
+    cycles, once no path without repeats is longer.
     """
-    links = cut(extends.select("child", "parent").where("child <> parent").distinct())
-    known = links.count()
-    for _ in steps(None):
-        longer = links.join(links.select(F.col("child").alias("parent"), F.col("parent").alias("top")), "parent").select("child", F.col("top").alias("parent"))
-        links = cut(links.unionByName(longer).where("child <> parent").distinct())
-        if (now := links.count()) == known:
+    gather = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    own = props.groupBy(F.col("interface").alias("node")).agg(gather(F.array("prop")).alias("props"))
+    up = extends.where("child <> parent").groupBy(F.col("child").alias("node")).agg(F.collect_set("parent").alias("up"))
+    none = F.array().cast(own.schema["props"].dataType)
+    state = cut(own.join(up, "node", "full_outer").withColumn("props", F.coalesce("props", none)))
+    longest = state.where("up is not null").count()
+    for step in steps(None):
+        links = state.select("node", F.explode("up").alias("at"))
+        theirs = state.withColumnsRenamed({"node": "at", "props": "more", "up": "further"})
+        # The farther links reach, the fewer nodes they end at: those go to every task.
+        ends = links.select("at").distinct()
+        if few(ends, 50_000):
+            theirs = F.broadcast(theirs.join(F.broadcast(ends), "at", "left_semi"))
+        got = links.join(theirs, "at").groupBy("node").agg(gather("more").alias("more"), gather("further").alias("further"))
+        after = state.drop("up").join(got, "node", "left")
+        further = F.array_except("further", F.array("node"))
+        after = after.select("node", F.when(F.col("more").isNull(), F.col("props")).otherwise(F.array_union("props", "more")).alias("props"), F.when(F.size(further) > 0, further).alias("up"))
+        last, state = state, cut(after)
+        release(last)
+        if 2**step > longest or not state.where("up is not null").limit(1).count():
             break
-        known = now
-    got = links.join(props.withColumnRenamed("interface", "parent"), "parent").select(F.col("child").alias("interface"), "prop")
-    return props.select("interface", "prop").unionByName(got).distinct()
+    return state.select(F.col("node").alias("interface"), F.explode("props").alias("prop"))

@@ -34,3 +34,21 @@ def test_inherited_props(spark):
     props = spark.createDataFrame([("C", "c"), ("B", "b"), ("A", "a")], "interface string, prop string")
     extends = spark.createDataFrame([("C", "B"), ("B", "A"), ("A", "C")], "child string, parent string")
     assert len(rows(lookup.inherited_props(props, extends))) == 9
+
+
+def test_inherited_props_hold_no_links_of_all_levels(spark, monkeypatch):
+    import random
+
+    r, tables = random.Random(5), []
+    pairs = [(str(i), str(r.randrange(max(i, 2) if r.random() < 0.95 else 60))) for i in range(60) for _ in range(r.choice([0, 1, 1, 2]))]
+    chain = [(f"c{i}", f"c{i - 1}") for i in range(1, 70)]
+    own = [(str(i), f"p{i % 7}") for i in range(0, 60, 3)] + [("c0", "top"), ("c0", None), ("x", "alone")]
+    want = set(own)
+    while more := {(c, p) for c, up in pairs + chain for i, p in want if i == up} - want:
+        want |= more
+    cut = lookup.cut
+    monkeypatch.setattr(lookup, "cut", lambda df: tables.append(cut(df)) or tables[-1])
+    monkeypatch.setattr(lookup, "release", lambda *_: None)
+    got = lookup.inherited_props(spark.createDataFrame(own, "interface string, prop string"), spark.createDataFrame(pairs + chain, "child string, parent string"))
+    assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
+    assert max(t.count() for t in tables) <= 131
