@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import walk
-from .tables import cut, steps
+from .tables import cut, small, steps
 
 
 def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -171,15 +171,23 @@ def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def levels(deps: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Build order: ``node`` and the round in which all it needs (``node`` needs ``dep``) are built; nodes on cycles get none."""
-    left, done = cut(nodes.select("node").distinct()), None
-    needs = cut(deps.where("node <> dep").join(nodes.select(F.col("node").alias("dep")), "dep", "left_semi"))
+    names = nodes.select("node").distinct()
+    needs = deps.where("node <> dep").select("node", "dep").distinct().join(names.withColumnRenamed("node", "dep"), "dep", "left_semi")
+    counted = cut(names.join(needs.groupBy("node").agg(F.count("*").alias("n")), "node", "left"))
+    edges = cut(needs.join(counted, "node").select("node", "dep", "n"))
+    front, done, waiting = counted.where("n is null").select("node"), None, None
     for step in steps(max_depth):
-        open_deps = needs.join(left.select(F.col("node").alias("dep")), "dep", "left_semi").select("node").distinct()
-        ready = cut(left.join(open_deps, "node", "left_anti").withColumn("level", F.lit(step - 1)))
-        if not ready.limit(1).count():
+        if not front.limit(1).count():
             break
-        done = ready if done is None else done.unionByName(ready)
+        level = front.withColumn("level", F.lit(step - 1))
+        done = level if done is None else done.unionByName(level)
+        # Each need is met once, when what it names is built; a node waits until it has met all its own.
+        met = edges.join(small(front.withColumnRenamed("node", "dep")), "dep").groupBy("node", "n").agg(F.count("*").alias("met"))
+        if waiting is not None:
+            met = met.unionByName(waiting).groupBy("node", "n").agg(F.sum("met").alias("met"))
+        met = cut(met)
+        front, waiting = met.where("met = n").select("node"), met.where("met < n")
+        waiting = waiting if waiting.limit(1).count() else None
         if step % 50 == 0:
             done = cut(done)
-        left = cut(left.join(ready, "node", "left_anti"))
-    return done if done is not None else left.withColumn("level", F.lit(0))
+    return done if done is not None else names.withColumn("level", F.lit(0))

@@ -226,3 +226,23 @@ def test_walks_over_files_equal_walks_by_levels(spark, monkeypatch):
         assert rows(graph.walk_up(calls, changed, functions)) == by_levels
     none = changed.limit(0)
     assert rows(graph.walk_up(calls, none, functions)) == [] == rows(graph.walk_up(calls.limit(0), changed, functions))
+
+
+def test_levels_wait_for_all_needs(spark, monkeypatch):
+    import random
+
+    r, n, tables = random.Random(9), 90, []
+    deps = [(i, r.randrange(i)) for i in range(1, n) for _ in range(r.choice([0, 1, 1, 3]))] + [(200, 201), (201, 200), (202, 200), (5, 5), (7, 999)]
+    names = [(i,) for i in range(n)] + [(200,), (201,), (202,)]
+    level, node = {}, {i for i, in names}
+    for i in range(n):
+        level[i] = max((level[d] + 1 for a, d in deps if a == i and d in node and d != i), default=0)
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: tables.append(cut(df)) or tables[-1])
+    got = graph.levels(spark.createDataFrame(deps, "node long, dep long"), spark.createDataFrame(names, "node long"))
+    assert rows(got) == sorted(level.items())
+    # What is left is not written again each round.
+    tables.clear()
+    chain = [(i, i // 3) for i in range(1, 400)]
+    assert got.count() == n and len(rows(graph.levels(spark.createDataFrame(chain, "node long, dep long"), spark.createDataFrame([(i,) for i in range(400)], "node long")))) == 400
+    assert sum(t.count() for t in tables) < 3 * 400
