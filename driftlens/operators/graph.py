@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import walk
-from .tables import cut, small, steps
+from .tables import cut, parted, small, steps
 
 
 def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -78,9 +78,10 @@ def walk_up(calls: DataFrame, changed: DataFrame, functions: DataFrame, discount
 
 def propagate_one_level(changes: DataFrame, renders: DataFrame) -> DataFrame:
     """A component's behaviour changes reach those that render it. ``changes``: component, category; ``renders``: host, component."""
-    return (
-        changes.join(renders, "component").where("host <> component").select("host", F.col("component").alias("via"), "category").distinct()
-    )
+    hosts = parted(renders.where("host <> component").select("host", "component"), "component").distinct()
+    # Of distinct rows on both sides no two pairs are equal.
+    pairs = changes.select("component", "category").distinct().join(hosts, "component")
+    return pairs.select("host", F.col("component").alias("via"), "category")
 
 
 #: Relationships from the most telling to the least.

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.tables import parted
+
 _KIND = "CASE p_partkey % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'interface' WHEN 2 THEN 'class' WHEN 3 THEN 'constant' ELSE 'enum' END"
 _VIS = "CASE {x} % 4 WHEN 0 THEN 'private' WHEN 1 THEN 'protected' WHEN 2 THEN 'public' ELSE 'exported' END"
 _PAIR = "'pkg/' || p_brand || '/' || replace(p_name, ' ', '_') || '.S' || CAST(p_partkey AS STRING)"
@@ -166,7 +168,12 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = SQL[name].replace("GROUP BY ALL", "GROUP BY 1, 2").replace("{", "{{").replace("}", "}}")
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    if sql.startswith("SELECT DISTINCT ") and " UNION " not in sql:
+        # Made distinct here, in partitions by size.
+        every = spark.sql(sql.replace("SELECT DISTINCT ", "SELECT ", 1), **read)
+        return parted(every, *every.columns).distinct()
+    return spark.sql(sql, **read)
 
 
 def with_(*names: str) -> str:

@@ -246,3 +246,18 @@ def test_levels_wait_for_all_needs(spark, monkeypatch):
     chain = [(i, i // 3) for i in range(1, 400)]
     assert got.count() == n and len(rows(graph.levels(spark.createDataFrame(chain, "node long, dep long"), spark.createDataFrame([(i,) for i in range(400)], "node long")))) == 400
     assert sum(t.count() for t in tables) < 3 * 400
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_propagated_rows_need_no_last_distinct(spark, monkeypatch):
+    from driftlens.operators import tables
+
+    changes = spark.createDataFrame([("A", "x"), ("A", "x"), ("A", "y"), ("B", "x"), (None, "x")], "component string, category string")
+    renders = spark.createDataFrame([("h", "A"), ("h", "A"), ("A", "A"), ("k", "B"), ("k", None)], "host string, component string")
+    monkeypatch.setattr(tables, "PART_BYTES", 1)
+    got = graph.propagate_one_level(changes, renders)
+    assert rows(got) == [("h", "A", "x"), ("h", "A", "y"), ("k", "B", "x")]
+    assert not _plan(got).startswith("Aggregate")
