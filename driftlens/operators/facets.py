@@ -6,17 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _object(text: Column) -> Column:
+    return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
 def json_map(content: str | Column, field: str) -> Column:
     """A string map of a JSON manifest; empty where the field is missing or no object."""
     text = F.col(content) if isinstance(content, str) else content
-    return F.coalesce(F.from_json(F.get_json_object(text, f"$.{field}"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return _object(F.get_json_object(text, f"$.{field}"))
 
 
 def json_bins(content: str) -> Column:
     """Commands of a manifest; a plain string is one command of the package's name."""
-    raw = F.get_json_object(F.col(content), "$.bin")
-    name = F.coalesce(F.get_json_object(F.col(content), "$.name"), F.lit("<unknown>"))
-    return F.when(raw.isNotNull() & ~raw.startswith("{"), F.create_map(name, raw)).otherwise(json_map(content, "bin"))
+    return _bins(F.get_json_object(F.col(content), "$.bin"), F.get_json_object(F.col(content), "$.name"))
+
+
+def _bins(raw: Column, name: Column) -> Column:
+    return F.when(raw.isNotNull() & ~raw.startswith("{"), F.create_map(F.coalesce(name, F.lit("<unknown>")), raw)).otherwise(_object(raw))
+
+
+def map_changes(a: Column, b: Column) -> Column:
+    """``map_diff`` of two maps of one row, as an array of structs."""
+
+    def entry(k: Column) -> Column:
+        before, after = F.try_element_at(a, k), F.try_element_at(b, k)
+        change = F.when(before.isNull() & after.isNull(), None).when(before.isNull(), "added").when(after.isNull(), "removed").when(before != after, "changed")
+        return F.struct(k.alias("field"), change.alias("change"), before.alias("before"), after.alias("after"))
+
+    return F.filter(F.transform(F.array_union(F.map_keys(a), F.map_keys(b)), entry), lambda r: r["change"].isNotNull())
 
 
 def map_diff(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
@@ -32,9 +49,21 @@ def map_diff(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
 _BREAKS = {"peerDependencies": {"added": True, "removed": False, "changed": True}, "engines": {"added": True, "changed": True}, "bin": {"removed": True}}
 
 
+#: Top-level fields of a manifest that are read, all in one pass over its text.
+_FIELDS = ("main", "module", "types", "typings", "type", "name", "peerDependencies", "engines", "bin", "exports")
+
+
 def manifest_diff(pairs: DataFrame, key: str = "case") -> DataFrame:
-    """``old`` and ``new`` package manifests (JSON text): entry points, module system, exports, dependency maps."""
-    at = lambda side, f: F.get_json_object(F.col(side), f"$.{f}")
+    """``old`` and ``new`` package manifests (JSON text): entry points, module system, exports, dependency maps.
+
+    Each row holds both manifests, so its maps are compared where they are.
+    """
+    both = pairs.select(key, "old", "new")
+    for side in ("old", "new"):
+        both = both.select("*", F.json_tuple(side, *_FIELDS).alias(*[f"{side}_{f}" for f in _FIELDS]))
+    at = lambda side, f: F.col(f"{side}_{f}")
+    of = {f: (lambda side, f=f: _object(at(side, f))) for f in _BREAKS} | {"bin": lambda side: _bins(at(side, "bin"), at(side, "name")), "exports": lambda side: _exports(at(side, "exports"))}
+    maps = both.select("*", *[m(side).alias(f"{side}_map_{f}") for f, m in of.items() for side in ("old", "new")])
     rows = []
     for f in ("main", "module", "types", "typings"):
         a, b = at("old", f), at("new", f)
@@ -43,21 +72,29 @@ def manifest_diff(pairs: DataFrame, key: str = "case") -> DataFrame:
     a, b = (F.coalesce(at(s, "type"), F.lit("commonjs")) for s in ("old", "new"))
     row = F.struct(F.lit("type").alias("field"), F.lit("module_system").alias("change"), F.lit(True).alias("is_breaking"), a.alias("before"), b.alias("after"))
     rows.append(F.when(a != b, row))
-    out = pairs.select(key, F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
-    for f, breaks in _BREAKS.items():
-        of = json_bins if f == "bin" else lambda side, f=f: json_map(side, f)
-        d = map_diff(pairs.select(key, of("old").alias("a"), of("new").alias("b")), key, "a", "b").where(F.col("change").isin(*breaks))
-        matter = F.col("change").isin(*[c for c, b in breaks.items() if b])
-        out = out.unionByName(d.select(key, F.concat(F.lit(f"{f}."), "field").alias("field"), F.concat(F.lit("dependency_"), "change").alias("change"), matter.alias("is_breaking"), "before", "after"))
-    d = map_diff(pairs.select(key, flat_exports("old").alias("a"), flat_exports("new").alias("b")), key, "a", "b")
-    return out.unionByName(
-        d.select(key, F.concat(F.lit("exports."), "field").alias("field"), F.concat(F.lit("export_"), "change").alias("change"), (F.col("change") != "added").alias("is_breaking"), "before", "after")
-    )
+    parts = [F.filter(F.array(*rows), lambda r: r.isNotNull())]
+    for f, breaks in (_BREAKS | {"exports": {"added": False, "removed": True, "changed": True}}).items():
+        parts.append(_counted(f, breaks, at("old", f"map_{f}"), at("new", f"map_{f}")))
+    return maps.select(key, F.inline(F.concat(*parts)))
+
+
+def _counted(f: str, breaks: dict, a: Column, b: Column) -> Column:
+    """The changes of map ``f`` that count, as rows of ``manifest_diff``."""
+    matter, verb = [c for c, b in breaks.items() if b], "export_" if f == "exports" else "dependency_"
+
+    def row(r: Column) -> Column:
+        named = F.concat(F.lit(f"{f}."), r["field"]).alias("field"), F.concat(F.lit(verb), r["change"]).alias("change")
+        return F.struct(*named, r["change"].isin(*matter).alias("is_breaking"), r["before"].alias("before"), r["after"].alias("after"))
+
+    return F.transform(F.filter(map_changes(a, b), lambda r: r["change"].isin(*breaks)), row)
 
 
 def flat_exports(content: str) -> Column:
     """``exports`` as subpath and condition to target; a plain string is ``.`` and one condition level is flattened."""
-    raw = F.get_json_object(F.col(content), "$.exports")
+    return _exports(F.get_json_object(F.col(content), "$.exports"))
+
+
+def _exports(raw: Column) -> Column:
     plain = F.when(raw.isNotNull() & ~raw.startswith("{"), F.create_map(F.lit("."), raw))
     top = F.map_entries(F.from_json(F.when(raw.startswith("{"), raw), "map<string,string>"))
     nested = F.flatten(

@@ -261,3 +261,18 @@ def test_propagated_rows_need_no_last_distinct(spark, monkeypatch):
     got = graph.propagate_one_level(changes, renders)
     assert rows(got) == [("h", "A", "x"), ("h", "A", "y"), ("k", "B", "x")]
     assert not _plan(got).startswith("Aggregate")
+
+
+def test_manifests_are_compared_in_their_rows(spark):
+    old = '{"name": "n", "bin": "a.js", "engines": {"node": "1", "gone": "1", "void": null}, "exports": {".": "./a", "./b": {"import": "./b"}}, "main": null}'
+    new = '{"bin": {"m": "b.js"}, "engines": {"node": "2", "new": "1", "void": null}, "exports": "./a", "module": "m"}'
+    df = spark.createDataFrame([(None, old, new), (1, "{}", None), (2, "no json", new)], "case int, old string, new string")
+    got = facets.manifest_diff(df, "case")
+    assert [tuple(r)[1:] for r in sorted(got.where("case is null").collect(), key=lambda r: r.field)] == [
+        ("bin.n", "dependency_removed", True, "a.js", None),
+        ("engines.new", "dependency_added", True, None, "1"),
+        ("engines.node", "dependency_changed", True, "1", "2"),
+        ("exports../b#import", "export_removed", True, "./b", None),
+    ]
+    assert {r.field for r in got.where("case = 2").collect()} == {"engines.new", "engines.node", "exports.."}
+    assert "Join" not in _plan(got) and "Union" not in _plan(got)
