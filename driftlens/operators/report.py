@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tables import cut, parted
 
 
 def summary(changes: DataFrame) -> DataFrame:
@@ -76,9 +77,22 @@ def suppress(rules: DataFrame, by: DataFrame, on: list[str]) -> DataFrame:
 
 
 def unique_ids(df: DataFrame, base: str, order: list[str]) -> DataFrame:
-    """Ids from a base: the first keeps it, later ones get ``-2``, ``-3``, ..."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return df.withColumn("unique_id", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), n.cast("string"))))
+    """Ids from a base: the first keeps it, later ones get ``-2``, ``-3``, ...
+
+    Rows are parted by ranges of base and order; a base of many rows is numbered
+    part by part, each from the rows of the parts before it.
+    """
+    rows = cut(parted(df, base, *order, ranges=True).withColumn("__part", F.spark_partition_id()))
+    long = rows.groupBy(F.col(base).alias("__base")).agg(F.min("__part").alias("a"), F.max("__part").alias("b")).where("a < b").select("__base")
+    same = F.col(base).eqNullSafe(F.col("__base"))
+    counts = rows.select(base, "__part").join(F.broadcast(long), same).groupBy("__base", F.col("__part").alias("__p")).agg(F.count("*").alias("n"))
+    sofar = F.sum("n").over(Window.partitionBy("__base").orderBy("__p")) - F.col("n")
+    # At most two rows per part: a base that goes on into the next and one that came from the last.
+    sofar = F.broadcast(cut(counts.select("__base", "__p", sofar.alias("__before"))))
+    n = F.row_number().over(Window.partitionBy(base, "__part").orderBy(*order)) + F.coalesce("__before", F.lit(0))
+    out = rows.join(sofar, same & (F.col("__part") == F.col("__p")), "left").withColumn("__n", n)
+    unique = F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), F.col("__n").cast("string")))
+    return out.select(*df.columns, unique.alias("unique_id"))
 
 
 def dead_classes(old: DataFrame, new: DataFrame, prefix: str, to: str) -> DataFrame:

@@ -276,3 +276,18 @@ def test_manifests_are_compared_in_their_rows(spark):
     ]
     assert {r.field for r in got.where("case = 2").collect()} == {"engines.new", "engines.node", "exports.."}
     assert "Join" not in _plan(got) and "Union" not in _plan(got)
+
+
+def test_numbers_of_one_base_are_parted(spark, monkeypatch):
+    from driftlens.operators import tables
+
+    data = [(b, i) for i in range(300) for b in (["hot", "x", None] if i % 50 == 0 else ["hot"])]
+    monkeypatch.setattr(tables, "PART_BYTES", 1)
+    got = report.unique_ids(spark.createDataFrame(data[::-1], "b string, i long"), "b", ["i"])
+    count, want = {}, []
+    for b, i in data:
+        count[b] = count.get(b, 0) + 1
+        want.append((b, i, None if b is None else b if count[b] == 1 else f"{b}-{count[b]}"))
+    key = lambda r: (r[0] or "", r[1])
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert "__part" in next(line for line in _plan(got).splitlines() if "Window" in line)
