@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..operators import facets, graph, profiles, report, rules
+from ..operators.tables import cut
 from .queries import query
 
 _IN = lambda names: ", ".join(f"'{n}'" for n in names)
@@ -305,7 +306,7 @@ _EDGES = "SELECT family, parent, child, bool_or(chp) AS chp, bool_or(pmc) AS pmc
     SELECT family, parent, node AS child, chp, pmc FROM r WHERE k = 1""")
 def internal_node_collapse(signals):
     """Nodes n4 and n5 are internal."""
-    edges = graph.combine_edges(signals)
+    edges = cut(graph.combine_edges(signals).select("family", "parent", "child", "chp", "pmc"))
     names = edges.select("family", F.col("parent").alias("node")).unionByName(edges.select("family", F.col("child").alias("node"))).where("node < 'n4'")
     return graph.collapse_internal(edges, names)
 

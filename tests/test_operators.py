@@ -291,3 +291,13 @@ def test_numbers_of_one_base_are_parted(spark, monkeypatch):
     key = lambda r: (r[0] or "", r[1])
     assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
     assert "__part" in next(line for line in _plan(got).splitlines() if "Window" in line)
+
+
+def test_collapse_makes_edges_once(spark, monkeypatch):
+    from driftlens.plans import QUERIES, changes
+
+    made = []
+    cut = changes.cut
+    monkeypatch.setattr(changes, "cut", lambda df: made.append(df.columns) or cut(df))
+    QUERIES["internal_node_collapse"](spark, "/root/testdata/sf0.001")
+    assert made == [["family", "parent", "child", "chp", "pmc"]]
