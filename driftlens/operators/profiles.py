@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tables import cut
 
 #: Facets of ``profile_diff``: category, whether a removal and an addition touch tests, and whether values are compared.
 _FACETS = {
@@ -121,7 +122,8 @@ def deprecation_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 def component_changes(old: DataFrame, new: DataFrame, old_flags: DataFrame, new_flags: DataFrame) -> DataFrame:
     """All facets of components that have a profile (a row of flags) on both sides."""
     both = old_flags.select("component").join(new_flags.select("component"), "component", "left_semi").distinct()
-    a, b = old.join(both, "component", "left_semi"), new.join(both, "component", "left_semi")
+    # Each side is used by all parts and made once.
+    a, b = (cut(d.join(both, "component", "left_semi")) for d in (old, new))
     out = flag_changes(old_flags, new_flags)
     for part in (facet_changes(a, b), binding_changes(a, b), deprecation_changes(a, b)):
         out = out.unionByName(part)

@@ -301,3 +301,16 @@ def test_collapse_makes_edges_once(spark, monkeypatch):
     monkeypatch.setattr(changes, "cut", lambda df: made.append(df.columns) or cut(df))
     QUERIES["internal_node_collapse"](spark, "/root/testdata/sf0.001")
     assert made == [["family", "parent", "child", "chp", "pmc"]]
+
+
+def test_profiles_are_made_once(spark, monkeypatch):
+    made = []
+    cut = profiles.cut
+    monkeypatch.setattr(profiles, "cut", lambda df: made.append(df) or cut(df))
+    facet = "component string, facet string, element string, key string, value string, conditional boolean"
+    old = spark.createDataFrame([("C", "prop", "", "p", None, False), ("D", "role", "e", "", "x", False)], facet)
+    new = spark.createDataFrame([("C", "prop", "", "p", None, False), ("C", "deprecated", "", "p", "use q", False), ("D", "role", "e", "", "y", False)], facet)
+    flags = spark.createDataFrame([("C", True, "body", False, False, False, ["Wrap"])], "component string, uses_portal boolean, portal_target string, is_forward_ref boolean, is_memo boolean, has_children boolean, children_path array<string>")
+    got = profiles.component_changes(old, new, flags, flags)
+    assert [(r.component, r.change, r.key) for r in got.collect() if r.category == "prop_deprecated"] == [("C", "deprecated", "p")]
+    assert len(made) == 2
