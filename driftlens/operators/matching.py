@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .tables import cut, steps
+from .tables import cut, parted, steps
 
 SAME_FAMILY, CROSS_FAMILY, AMBIGUOUS, NAME_ONLY, GROUP_CAP = 0.15, 0.50, 0.45, 0.6, 50
 
@@ -173,7 +173,9 @@ def swap_replacements(stopped: DataFrame, started: DataFrame) -> DataFrame:
 
     Of several, one that is a group like it, or like it isn't, then the first by name.
     """
-    pairs = stopped.select("host", F.col("component").alias("old")).join(started.select("host", F.col("component").alias("new")), "host")
-    counted = pairs.where("old <> new").groupBy("old", "new").agg(F.count_distinct("host").alias("hosts"))
+    side = lambda d, n: parted(d.select("host", F.col("component").alias(n)), "host").distinct()
+    # Each pair of distinct rows is a host of its own, so that counts fold before they are shuffled.
+    pairs = side(stopped, "old").join(side(started, "new"), "host")
+    counted = pairs.where("old <> new").groupBy("old", "new").agg(F.count("*").alias("hosts"))
     best = F.row_number().over(Window.partitionBy("old").orderBy(F.desc("hosts"), F.desc(F.col("old").endswith("Group") == F.col("new").endswith("Group")), "new"))
     return counted.withColumn("r", best).where("r = 1").drop("r")

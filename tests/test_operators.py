@@ -314,3 +314,10 @@ def test_profiles_are_made_once(spark, monkeypatch):
     got = profiles.component_changes(old, new, flags, flags)
     assert [(r.component, r.change, r.key) for r in got.collect() if r.category == "prop_deprecated"] == [("C", "deprecated", "p")]
     assert len(made) == 2
+
+
+def test_swaps_fold_before_they_are_shuffled(spark):
+    pairs = lambda *r: spark.createDataFrame([tuple(x) for x in r], "host string, component string")
+    got = matching.swap_replacements(pairs("1A", "1A", "2A", "3B"), pairs("1X", "1X", "2X", "2Y", "2Y", "3B"))
+    assert rows(got) == [("A", "X", 2)]
+    assert "distinct" not in _plan(got).replace("Distinct", "")
